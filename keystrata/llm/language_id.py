@@ -62,7 +62,7 @@ class Encoder:
             raw = text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass")
             s = self.symbol[np.frombuffer(raw, np.uint32)]
             any_letter = any_letter or bool(s.any())
-            s = np.concatenate((tail, s, np.zeros(at + PIECE >= len(text), np.uint8)))
+            s = np.concatenate((tail, s, np.zeros(int(at + PIECE >= len(text)), np.uint8)))
             s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))].astype(np.int32)
             if len(s) < GRAM:
                 tail = s.astype(np.uint8)
@@ -99,7 +99,8 @@ class Encoder:
         ids, counts, any_letter = self.grams(text)
         if not any_letter or not len(ids):
             return None
-        v = counts.astype(np.float32) @ self.vectors[self.rows(ids)].astype(np.float32)
+        rows = self.rows(ids)  # may replace self.vectors
+        v = counts.astype(np.float32) @ self.vectors[rows].astype(np.float32)
         norm = float(np.sqrt(np.dot(v, v)))
         return v / norm if norm else None
 
