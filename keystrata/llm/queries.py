@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, token_counts
+from . import language_id, near_dups, packing, token_counts
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,10 +35,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_minhash_near_dups": op4_minhash_near_dups,
 }
 
 ORACLES: dict[str, str] = {}
