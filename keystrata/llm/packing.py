@@ -35,34 +35,85 @@ from pyspark.sql import types as T
 from .common import clean_name, steps, stored
 
 CAPACITY, END_ID = 4096, 1
-CACHED_WORDS, CACHED_LENGTH = 250_000, 40
+CACHED_WORDS, CACHED_PIECES, CACHED_LENGTH = 1_000_000, 400_000, 40
+
+
+class PieceIds(dict):
+    """Pre-token in the tokenizer's byte alphabet -> its ids as little-endian uint32 bytes."""
+
+    def __init__(self, model, ids: int):
+        super().__init__()
+        self.tokenize = model.tokenize
+        self.four = [i.to_bytes(4, "little") for i in range(ids)]
+
+    def __missing__(self, piece: str) -> bytes:
+        four = self.four
+        ids = b"".join([four[t.id] for t in self.tokenize(piece)])
+        if len(piece) <= CACHED_LENGTH:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class WordIds(dict):
     """Word -> its ids as little-endian uint32 bytes, for a tokenizer that never joins words.
 
     Its pre-tokenizer keeps no match across white space, its normalizer composes nothing across it,
-    so the ids of a text are those of its words in order.
+    so the ids of a text are those of its words in order. Words of Latin-1 characters, which need no
+    composition, are lower-cased and split here and only the model is called; all others go through
+    the whole tokenizer.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps_of = json.loads(self.tokenizer.to_str())
+        self.split = None
+        if [n["type"] for n in steps_of["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]:
+            split, level = steps_of["pre_tokenizer"]["pretokenizers"]
+            if (split["type"], split["behavior"], split["invert"], level["type"], level["use_regex"], level["add_prefix_space"]) == ("Split", "Removed", True, "ByteLevel", False, False):
+                self.split = regex.compile(split["pattern"]["Regex"]).findall
+        self.pieces = PieceIds(self.tokenizer.model, self.tokenizer.get_vocab_size())
+        self.alphabet = {c: "".join(map(_byte_alphabet().__getitem__, chr(c).encode())) for c in range(256)}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.split is not None and max(word, default="") < "\u0100" and "<|" not in word:
+            word_ = word.lower()
+            if not word.isascii() or not word.isprintable():
+                ids = b"".join([self.pieces[p.translate(self.alphabet)] for p in self.split(word_)])
+            elif word.isalpha():
+                ids = self.pieces[word_]
+            else:
+                ids = b"".join([self.pieces[p] for p in self.split(word_)])
+        else:
+            ids = self.whole(word)
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+    def whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
+@lru_cache(maxsize=1)
+def _byte_alphabet() -> list[str]:
+    """The printable character of each byte in byte-level vocabularies: itself, or from 256 on in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
