@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dups, packing, substring_dups, token_counts
+from . import decontamination, language_id, near_dups, packing, substring_dups, token_counts
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,12 +43,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dups.remove_repeats(table(spark, sf_dir, "documents")).drop("intervals")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dups": op4_minhash_near_dups,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_benchmark_decontamination": decontamination.ORACLE_SQL,
+}
