@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dups, packing, substring_dups, token_counts
+from . import decontamination, language_id, near_dups, packing, secrets, substring_dups, token_counts
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,15 +47,27 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def repository():
+    """The tables have no repository: a source's documents in one language stand for it."""
+    return F.concat("source", F.lit("/"), "lang")
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return secrets.scan(docs, repository=repository()).drop("source", "lang")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dups": op4_minhash_near_dups,
+    "op5_secret_scans": op5_secret_scans,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_secret_scans": secrets.ORACLE_SQL,
     "op10_benchmark_decontamination": decontamination.ORACLE_SQL,
 }
