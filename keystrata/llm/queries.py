@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dups, packing, secrets, substring_dups, token_counts
+from . import decontamination, language_id, near_dups, packing, secrets, substring_dups, token_counts, topk
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,17 +57,23 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, repository=repository()).drop("source", "lang")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dups": op4_minhash_near_dups,
     "op5_secret_scans": op5_secret_scans,
+    "op8_exact_topk": op8_exact_topk,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_exact_topk": topk.ORACLE_SQL,
     "op5_secret_scans": secrets.ORACLE_SQL,
     "op10_benchmark_decontamination": decontamination.ORACLE_SQL,
 }
