@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dups, packing, secrets, substring_dups, token_counts, topk
+from . import decontamination, language_id, near_dups, packing, secrets, substring_dups, token_counts, topk, warc
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,18 +61,25 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.report(warc.layout(pages), warc.layout(warc.drilled(pages)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dups": op4_minhash_near_dups,
     "op5_secret_scans": op5_secret_scans,
+    "op7_warc_fixity": op7_warc_fixity,
     "op8_exact_topk": op8_exact_topk,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_warc_fixity": warc.ORACLE_SQL,
     "op8_exact_topk": topk.ORACLE_SQL,
     "op5_secret_scans": secrets.ORACLE_SQL,
     "op10_benchmark_decontamination": decontamination.ORACLE_SQL,
