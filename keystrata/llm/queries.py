@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dups, packing, secrets, substring_dups, token_counts, topk, warc
+from . import decontamination, language_id, near_dups, packing, pii, secrets, substring_dups, token_counts, topk, warc
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,12 +66,18 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(warc.layout(pages), warc.layout(warc.drilled(pages)))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs, pii.fit(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dups": op4_minhash_near_dups,
     "op5_secret_scans": op5_secret_scans,
+    "op6_pii": op6_pii,
     "op7_warc_fixity": op7_warc_fixity,
     "op8_exact_topk": op8_exact_topk,
     "op9_substring_dedup": op9_substring_dedup,
