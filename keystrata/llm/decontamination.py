@@ -63,10 +63,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     # a place too near the end for a mask has nulls there, which no item's seed has
     hashes = F.array(*(F.when(F.col("p") + len(m) <= F.size("w"), _seed(F.col("w"), F.col("p"), m, n)) for m, n, _ in seeds_of))
     hits = at.select("doc", "w", "p", F.explode(hashes).alias("seed")).where("seed is not null").join(seeds, "seed")
+    # A hit takes along the words beside the item only. Generated code holds all hits of one document
+    # at once, so they must be small; explode keeps the slice below the lambda functions, which would
+    # otherwise end the generated code and have it hand on the document's whole array with each hit.
     line = F.col("p") - F.col("q")
-    # the document's words beside the item's; places outside the document are null
-    beside = F.transform(F.col("iw"), lambda x, k: F.coalesce(F.get(F.col("w"), k + F.col("line")) == x, F.lit(False)))
-    hits = hits.select("doc", "item", "q", "span", "iw", "w", line.alias("line")).select("doc", "item", "q", "span", "line", F.size("iw").alias("n"), beside.alias("same"))
+    lead = F.greatest(-F.col("line"), F.lit(0))
+    own = F.slice("w", F.greatest(line, F.lit(0)) + 1, F.size("iw") - F.greatest(-line, F.lit(0)))
+    hits = hits.select("doc", "item", "q", "span", "iw", line.alias("line"), F.explode(F.array(own)).alias("own"))
+    # places outside the document are null there
+    beside = F.transform(F.col("iw"), lambda x, k: F.coalesce(F.get(F.col("own"), k - lead) == x, F.lit(False)))
+    hits = hits.select("doc", "item", "q", "span", "line", F.size("iw").alias("n"), beside.alias("same"))
     long = F.least(F.lit(STRETCH), F.col("n"))
     first = F.greatest(F.lit(0), F.least(F.col("q") + F.col("span") - long, F.col("n") - long))
     last = F.least(F.col("q"), F.col("n") - long)
