@@ -12,8 +12,7 @@ symbol each, others share 37 by code point. Texts are processed whole.
 Null texts and texts without a letter are `und` with score 0. The score is the cosine, at least 0.
 
 The prototypes are fitted on at most about `rows_per_language` labelled rows of each language (all
-of them where there are fewer), chosen by a hash of the row, never by position; only they are
-sampled. Components are summed as scaled integers, so any task order gives the same prototypes.
+of them where there are fewer), chosen by a hash of the text, each text once; only they are sampled. Components are summed as scaled integers, so any task order gives the same prototypes.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clean_name, held_out, steps
+from .common import clean_name, held_out, ship, steps
 
 DIMENSIONS, SEED, GRAM = 1024, 20260101, 3
 SYMBOLS = 64
@@ -129,8 +128,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
     if not counts:
         return Prototypes((), np.empty((0, DIMENSIONS), np.float32))
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, rows_per_language / n))) for k, n in sorted(counts.items())))
-    # by text: copies of a text stand or fall together, so a large group of copies can't fill the sample by chance
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_003)) < share * 1_000_003)
+    # chosen by text, and each text once: a large group of copies can't fill the sample
+    place = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_003))
+    chosen = rows.where(place < share * 1_000_003).groupBy(F.xxhash64("text").alias("copy"), "lang").agg(F.first("text").alias("text")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sums = encoder(), {}
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
         for k, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], names=["lang", "dim", "value"])
 
+    ship(docs.sparkSession)
     parts = chosen.mapInArrow(run, "lang string, dim int, value long")
     total: dict[str, np.ndarray] = {}
     for r in parts.groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect():  # languages x DIMENSIONS rows
@@ -175,6 +176,7 @@ def predict(docs: DataFrame, prototypes: Prototypes, text: str = "text", out: tu
                 columns = [part.column(part.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
+    ship(docs.sparkSession)
     return docs.select(*(f"`{c}`" for c in dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
 
 

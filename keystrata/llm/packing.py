@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clean_name, steps, stored
+from .common import clean_name, ship, steps, stored
 
 CAPACITY, END_ID = 4096, 1
 CACHED_WORDS, CACHED_PIECES, CACHED_LENGTH = 1_000_000, 400_000, 40
@@ -246,6 +246,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
                     columns.append(pa.array(ids, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
+    ship(docs.sparkSession)
     number = numbered(names[2], (task, nth))
     return docs.select(*(f"`{c}`" for c in [*keep, text])).mapInArrow(lambda batches: number(cut(batches)), schema)
 

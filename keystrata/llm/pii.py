@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clean_name, steps
+from .common import clean_name, ship, steps
 
 # Kinds in order and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -255,6 +255,7 @@ def fit(docs: DataFrame, text: str = "text", sample_documents: int = SAMPLE_DOCU
                 h, r, y, x = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(r, pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["h", "kind", "y", "x"])
 
+    ship(docs.sparkSession)
     found = chosen.mapInArrow(run, "h long, kind int, y int, x array<double>").distinct().toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, FEATURES)
     y, kind, h = (found.column(c).to_numpy().astype(np.int64) for c in ("y", "kind", "h"))
@@ -302,4 +303,5 @@ def detect(docs: DataFrame, detector: Detector, text: str = "text") -> DataFrame
                 made = [*(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *made], names=[*keep, *names])
 
+    ship(docs.sparkSession)
     return docs.select(*(f"`{c}`" for c in [*keep, text])).mapInArrow(run, schema)

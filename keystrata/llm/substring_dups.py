@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_name, power_of_two, shuffle_partitions
+from .common import clean_name, power_of_two, ship, shuffle_partitions
 from .words import Words
 
 SIZE = 20
@@ -176,6 +176,7 @@ def _apply(docs: pa.Table, bits: pa.Table, size: int, bits_of: int, with_text: b
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, with_text: bool = False) -> DataFrame:
     """A row per document: id, n_words, n_removed, kept_sha256, intervals (word places), maybe kept_text."""
     spark = docs.sparkSession
+    ship(spark)
     groups = 2 * shuffle_partitions(spark)
     bits = (power_of_two(2 * shuffle_partitions(spark))).bit_length() - 1
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.lit(0).alias("nth"), F.col(text).alias("t"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import clean_name, steps
+from .common import clean_name, ship, steps
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -127,4 +127,5 @@ def token_counts(docs: DataFrame, vocabulary_path: str, text: str = "text", out:
                 columns = [part.column(part.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*keep, out])
 
+    ship(docs.sparkSession)
     return docs.select(*(f"`{c}`" for c in [*keep, text])).mapInArrow(run, schema)

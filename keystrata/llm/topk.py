@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ship, stored
 
 K, SCALE, LEAF, SHARD_ROWS = 10, 1024, 128, 32768
 _EXACT = float(1 << 53)
@@ -144,6 +144,7 @@ def _search(k: int):
 
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row that is_query holds for."""
+    ship(vectors.sparkSession)
     good = F.col(embedding).isNotNull() & F.coalesce(F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & (F.size(embedding) > 0)
     rows = vectors.where(good).select(F.col(vec_id).cast("long").alias("id"), is_query.alias("asks"), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)).alias("v")).where("id is not null")
     rows = stored(rows.withColumn("n", F.size("v")), "vectors")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ship, stored
 
 SHARD_IDS, FANOUT = 1024, 32
 RECORD_END = "\r\n\r\n"
@@ -111,6 +111,7 @@ def read_warc(spark, path: str) -> DataFrame:
                 types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "offset", "length", "record_id", "url", "body"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, offset long, length long, record_id string, url string, body binary")
 
