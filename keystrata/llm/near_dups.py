@@ -7,21 +7,27 @@ and a shingle stops as soon as its next arrival is later than every register's.
 in a register with their probability Jaccard similarity. 128 registers in 32 bands of 4 make a pair
 of similarity 0.8 candidates with a probability of 1 - 5e-8.
 
-Two documents are linked if the Jaccard similarity of their shingle sets is at least 0.8; a class
+Two documents are linked if the Jaccard similarity of their shingle sets is at least t = 0.8; a class
 is a connected component. Documents of the same words are one node. A bucket is never paired off:
 
-1. The leader of a bucket is its document with the most company in all its buckets, so near the
-   middle of its group. Each other document is verified against it.
-2. Let i be the number of shingles a document shares with leader L. Two documents x and y of that
-   bucket that share no shingle outside L share at most min(i_x, i_y), so they can only be linked if
-   |x| + |y| <= i (1 + t) / t for both i; such pairs are few (y much smaller than L) and are
-   verified. All other links are between documents that share a shingle outside L. By the prefix
-   rule (order: shingles outside L first, then by hash) two linked documents share one among the
-   first |x| - ceil(t |x|) + 1 of each. These rare shingles are the buckets of the next round, in
-   which at least one document must have failed against the leader, until no bucket is left.
+1. A document's company is the size of all its buckets; the most company in a bucket is near the
+   middle of its group. Every document is verified against the leader of most company in any of its
+   buckets. If linked, that leader is its head; otherwise it is its own.
+2. In each bucket, documents with another head than its leader's are verified against that head, L.
+3. A link between two documents x and y verified against L, x without success, needs a shingle that
+   both have and L has not, or sizes |x| + |y| <= i (1 + t) / t where i is the smaller number of
+   shingles they share with L (without a shingle outside L they share at most i). Pairs of such
+   sizes are few, as y must be smaller than L, and are verified. For the rest each (L, shared shingle
+   outside L) is a bucket of the next round, led by one of its documents. The prefix rule keeps
+   these few: in order of how many documents of L have a shingle, x and y share one among the first
+   |x| - ceil(t |x|) + 1 of x; so a failed document with that many shingles of its own is done. So is
+   one whose shingles shared with L and those shared with others are too few for the smallest
+   partner in the bucket.
 
-So no link between candidates is lost, and work follows the number of documents, not the square of
-a group. Candidates and verified pairs stay in tables in the shared folder.
+Rounds go on until no bucket with a failed document is left; a rest of few pairs and little text, both
+measured first, is settled in one task. So no link between candidates is lost,
+and work follows the number of documents, not the square of a group. Candidates and verified pairs
+stay in tables in the shared folder.
 
 Null texts and texts without a word are a class of their own each. Rows with the same id count as
 one document, whose text is the distinct texts in order, joined by line ends; rows of a null id are
@@ -39,12 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clean_name, steps, stored
+from .common import clean_name, ship, steps, stored
 from .components import components
 from .words import Words, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 128, 32
+LOCAL_PAIRS, LOCAL_BYTES = 100_000, 32 << 20  # of a rest that one task settles
+BROADCAST_IDS = 100_000  # ids of a round that may be broadcast, under 2 MB; more are joined by a shuffle
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,16 +112,20 @@ def signatures(docs: DataFrame, text: str, doc_id: str, shingle: int = SHINGLE,
                     key = words.text_hash().view(np.int64)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key[:, 0]), pa.array(key[:, 1]), lists], names=["id", "k0", "k1", "bands"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull())
     return rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[doc_id].dataType), *(T.StructField(c, T.LongType()) for c in ("k0", "k1")), T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataFrame:
-    """(a, b, na, nb, both, ok, rare) of pairs (a, b): shingle counts, shared ones, and b's first ones outside a."""
+    """(a, b, na, nb, both, ok, outside) of pairs (a, b): shingle counts, shared ones, and b's shingles outside a."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # a round of few pairs moves only their texts
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
     id_type = pairs.schema["a"].dataType
-    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), *(T.StructField(c, T.LongType()) for c in ("na", "nb", "both")), T.StructField("ok", T.BooleanType()), T.StructField("rare", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), *(T.StructField(c, T.LongType()) for c in ("na", "nb", "both")), T.StructField("ok", T.BooleanType()), T.StructField("outside", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -132,21 +144,87 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataF
                     shared = np.isin(mix(hb + mix(of[xb].astype(np.uint64) * _GOLD)), mix(ha + mix(xa.astype(np.uint64) * _GOLD)))
                     both_ = np.bincount(xb, weights=shared, minlength=n).astype(np.int64)
                     ok = both_ >= t * (na + nb - both_) - 1e-9
-                    prefix = nb - np.ceil(t * nb - 1e-9).astype(np.int64) + 1
-                    out = ~shared
-                    nth = np.cumsum(out) - out  # how many outside came before, over the whole batch
-                    begin = np.concatenate(([0], np.cumsum(nb)))[:-1]
-                    nth = nth - nth[np.minimum(begin, max(len(nth) - 1, 0))][xb] if len(nth) else nth
-                    chosen = out & (nth < prefix[xb])
+                    chosen = ~shared
                     ends = np.concatenate(([0], np.cumsum(np.bincount(xb[chosen], minlength=n))))
-                    rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hb[chosen].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(na), pa.array(nb), pa.array(both_), pa.array(ok), rare], names=["a", "b", "na", "nb", "both", "ok", "rare"])
+                    outside = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hb[chosen].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(na), pa.array(nb), pa.array(both_), pa.array(ok), outside], names=["a", "b", "na", "nb", "both", "ok", "outside"])
 
     return both.mapInArrow(run, schema)
 
 
+def _next_pairs(checked: DataFrame, t: float) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs (a, b), and buckets (bucket, b, ok), of what may be linked though one failed against their
+    common leader; None if nothing failed."""
+    families = checked.groupBy("a").agg(F.min("ok").alias("all_ok"), F.count(F.lit(1)).alias("n")).where("not all_ok and n > 1").select("a")
+    own = stored(checked.join(families, "a"), "families")
+    if own.isEmpty():
+        return None
+    room = (1 + t) / t
+    sizes = own.where(F.col("both") >= t * F.col("nb")).select("a", "b", "nb", "both", "ok")
+    x = sizes.where("not ok").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("both").alias("ix"))
+    y = sizes.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("both").alias("iy"), "ok")
+    small = x.join(y, "a").where((F.col("nx") + F.col("ny") <= F.least("ix", "iy") * room) & (F.col("ok") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # shingles outside the leader that several documents of the family have
+    out = own.select("a", "b", F.explode("outside").alias("s"))
+    shared = out.groupBy("a", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    of = out.join(shared, ["a", "s"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("common"))
+    of = own.select("a", "b", "nb", "both", "ok", F.size("outside").alias("n")).join(of, ["a", "b"])
+    prefix = F.col("nb") - F.ceil(F.col("nb") * t - 1e-9) + 1 - (F.col("n") - F.size("common"))
+    chosen = F.when(F.col("ok"), F.col("common")).otherwise(F.slice("common", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")))
+    in_bucket = of.select(F.explode(chosen).alias("c"), "a", "b", "ok", "nb", (F.col("both") + F.size("common")).alias("reach")).select(F.xxhash64("a", "c.s").alias("bucket"), "b", "ok", "nb", "reach")
+    # x and y have at most reach in common; with the smallest partner in the bucket that must do
+    least = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ok").alias("all_ok"), F.min("nb").alias("least")).where("n > 1 and not all_ok").select("bucket", "least")
+    in_bucket = in_bucket.join(least, "bucket").where(F.col("reach") * room >= F.col("nb") + F.col("least") - 1e-9).select("bucket", "b", "ok")
+    return small.distinct(), in_bucket
+
+
+def _led(in_bucket: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's leader, a linked document if it has one, and each other document."""
+    lead = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ok").alias("all_ok"), F.max(F.struct("ok", (-F.col("b")).alias("m"))).alias("top")).where("n > 1 and not all_ok").select("bucket", (-F.col("top.m")).alias("a"))
+    return in_bucket.join(lead, "bucket").where("a <> b").select("a", "b")
+
+
+def _few(in_bucket: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataFrame | None:
+    """The links (a, b) within buckets that are few and small, found in one task; None if they are more.
+
+    The bounds on pairs and text are measured first; what exceeds them takes another round instead.
+    """
+    pairs = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2")).alias("p")).first()["p"] or 0
+    if pairs > LOCAL_PAIRS:
+        return None
+    ids = in_bucket.select(F.col("b").alias("id")).distinct()  # at most two for each pair
+    own = stored(texts.join(F.broadcast(ids), "id", "left_semi"), "few-texts")
+    if (own.agg(F.sum(F.octet_length("t")).alias("s")).first()["s"] or 0) > LOCAL_BYTES:
+        return None
+
+    def run(members: pa.Table, rows: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            x, h, _ = weighted_shingles(Words(rows.column("t")), shingle)
+        ends = np.searchsorted(x, np.arange(rows.num_rows + 1))
+        of = {i: h[a:b] for i, a, b in zip(rows.column("id").to_pylist(), ends, ends[1:], strict=False)}
+        groups: dict[int, list] = {}
+        for bucket, i, ok in zip(*(members.column(c).to_pylist() for c in ("bucket", "b", "ok")), strict=True):
+            groups.setdefault(bucket, []).append((i, ok))
+        found, seen = [], set()
+        for group in groups.values():
+            group.sort()
+            for k, (i, ok) in enumerate(group):
+                for j, other in group[:k]:
+                    if not (ok and other) and (j, i) not in seen:
+                        seen.add((j, i))
+                        both = len(np.intersect1d(of[i], of[j], assume_unique=True))
+                        if both >= t * (len(of[i]) + len(of[j]) - both) - 1e-9:
+                            found.append((j, i))
+        return pa.table({"a": pa.array([a for a, _ in found], rows.schema.field("id").type), "b": pa.array([b for _, b in found], rows.schema.field("id").type)})
+
+    one = F.lit(0).alias("one")
+    schema = T.StructType([T.StructField("a", own.schema["id"].dataType), T.StructField("b", own.schema["id"].dataType)])
+    members = in_bucket.select(one, "bucket", "b", "ok").groupBy("one")
+    return stored(members.cogroup(own.select(one, "id", "t").groupBy("one")).applyInArrow(run, schema), "few-links")
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, registers: int = REGISTERS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, class_id, class_size): a row per id; class_id is the smallest id of its class."""
+    """(doc_id, class_id): a row per id; class_id is the smallest id of its class."""
     docs = docs.select(F.col(doc_id), F.col(text)).where(F.col(doc_id).isNotNull())
     if _repeats(docs.select(F.col(doc_id).alias("id"))):
         docs = docs.groupBy(doc_id).agg(F.concat_ws("\n", F.sort_array(F.collect_set(text))).alias(text))
@@ -157,44 +235,46 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     rows = stored(rows.join(many, "bucket"), "buckets")
     company = rows.groupBy("node").agg(F.sum("n").alias("company"))
     texts = stored(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(company.select(F.col("node").alias("id")), "id", "left_semi"), "texts")
-    leaders = rows.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("m"))).alias("top")).select("bucket", (-F.col("top.m")).alias("a"))
-    pairs = rows.join(leaders, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    verified: DataFrame | None = None
+    rows = rows.join(company, "node").select("bucket", "node", F.struct("company", (-F.col("node")).alias("m")).alias("rank"))
+    rows = stored(rows.join(rows.groupBy("bucket").agg(F.max("rank").alias("top")), "bucket").select("bucket", "node", "top"), "led")
+    best = rows.groupBy("node").agg((-F.max("top").getField("m")).alias("best"))
+    pairs = stored(best.where("best <> node").select(F.col("best").alias("a"), F.col("node").alias("b")), "pairs")
+    verified = stored(_verify(pairs, texts, shingle, similarity), "verified")
+    head = stored(best.select("node").join(verified.where("ok").select(F.col("b").alias("node"), "a"), "node", "left").select("node", F.coalesce("a", "node").alias("head")), "heads")
+    led = rows.select("bucket", "node", (-F.col("top.m")).alias("leader")).join(head.select(F.col("node").alias("leader"), F.col("head").alias("a")), "leader").join(head, "node")
+    pairs = led.where("a <> head and a <> node").select("a", F.col("node").alias("b")).distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti")
+    checked = verified.unionByName(stored(_verify(stored(pairs, "pairs"), texts, shingle, similarity), "verified"))
+    verified = checked.drop("outside")
+    links: DataFrame | None = None
     while True:
-        checked = stored(_verify(pairs, texts, shingle, similarity), "verified")
-        if checked.isEmpty():
-            break
-        verified = checked.drop("rare") if verified is None else verified.unionByName(checked.drop("rare"))
-        failed = checked.where("not ok")
-        if failed.isEmpty():
+        left = _next_pairs(checked, similarity)
+        if left is None:
             break
-        # documents that may be linked though they share nothing outside the leader: sizes alone allow it
-        room = (1 + similarity) / similarity
-        x = failed.select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("both").alias("ix")).where(F.col("ix") >= similarity * F.col("nx"))
-        y = checked.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("both").alias("iy"), F.col("ok").alias("oky"))
-        y = y.where(F.col("iy") >= similarity * F.col("ny"))
-        small = x.join(y, "a").where((F.col("nx") + F.col("ny") <= F.least("ix", "iy") * room) & (F.col("oky") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        # documents that share a rare shingle, one of which failed
-        rare = checked.select(F.explode("rare").alias("x"), "a", "b", "ok").select(F.xxhash64("a", "x").alias("bucket"), "b", "ok")
-        shared = rare.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ok", "b")).alias("first")).where("n > 1 and not first.ok").select("bucket", F.col("first.b").alias("a"))
-        others = rare.join(shared, "bucket").where("a <> b").select("a", "b")
-        new = small.union(others).distinct()
+        small, in_bucket = left[0], stored(left[1], "rare-buckets")
+        links = _few(in_bucket, texts, shingle, similarity)
+        new = (small if links is not None else small.union(_led(in_bucket))).distinct()
         known = verified.select("a", "b").union(verified.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = stored(new.join(known, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
+        if not pairs.isEmpty():
+            checked = stored(_verify(pairs, texts, shingle, similarity), "verified")
+            verified = verified.unionByName(checked.drop("outside"))
+        elif links is None:
+            break
+        if links is not None:
             break
     ids = signed.select("id", "k0", "k1")
     member = ids.join(nodes.select("k0", "k1", "node"), ["k0", "k1"], "left") if _wordless(signed) else ids.join(nodes.select("k0", "k1", "node"), ["k0", "k1"])
     member = member.select("id", F.coalesce("node", "id").alias("node"))
-    linked = verified.where("ok").select("a", "b") if verified is not None else None
-    if linked is None or linked.isEmpty():
+    linked = verified.where("ok").select("a", "b")
+    if links is not None:
+        linked = linked.union(links)
+    if linked.isEmpty():
         out = member.select("id", F.col("node").alias("class"))
     else:
         label = components(linked).withColumnRenamed("node", "of")
         out = member.join(label, F.col("node") == F.col("of"), "left").select("id", F.coalesce("component", "node").alias("class"))
     out = stored(out, "classes")
-    sizes = out.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
-    return out.join(sizes, "class").select(F.col("id").alias(doc_id), F.col("class").alias("class_id"), F.col("size").alias("class_size"))
+    return out.select(F.col("id").alias(doc_id), F.col("class").alias("class_id"))
 
 
 def _repeats(signed: DataFrame) -> bool:
