@@ -7,15 +7,17 @@ will do.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import StoreError
+from ..operators import integrity, points, ranges, snapshots, versions
 from ..operators.versions import live
-from ..schema import VERSION_LOG, check_name
+from ..schema import MAX_SNAPSHOTS, VERSION_LOG, check_name
 
 KINDS = ("BTREE", "HASH", "LOG")
 
@@ -54,6 +56,9 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.containers: dict[int, Container] = {}
+        self.sort_keys: dict[int, Callable[[Column], Column]] = {}
+        self.conditions: dict[int, Callable[[Column, Column], Column]] = {}
+        self.snaps: dict[int, list[tuple[int, int]]] = {}  # (number, time), at most MAX_SNAPSHOTS a container
         self.open_names: set[str] = set()
         self._next = 1
 
@@ -81,6 +86,15 @@ class Store:
         self.open_names.add(name)
         return found
 
+    def open_special(self, name: str, sort_key: Callable[[Column], Column] | None = None, applies: Callable[[Column, Column], Column] | None = None, **options) -> Container:
+        """open, with the container's own order, as a sort key, and its condition for writes."""
+        c = self.open(name, **options)
+        if sort_key is not None:
+            self.sort_keys[c.cguid] = sort_key
+        if applies is not None:
+            self.conditions[c.cguid] = applies
+        return c
+
     def close(self, c: Container) -> None:
         if c.name not in self.open_names:
             raise StoreError("CONTAINER_UNKNOWN", c.name)
@@ -164,6 +178,65 @@ class Store:
             raise StoreError("FAILURE_INVALID_CONTAINER_TYPE", f"{c.kind} has no order")
         return self.view(c)
 
+    def scan(self, c: Container, r: ranges.Range | None = None, **window) -> DataFrame:
+        """A range query; a container with an own sort key is ordered and bounded by that key."""
+        r = r or ranges.Range()
+        view = self.ordered(c) if not (window or r.up_to or r.after) else live(self.log(c), **(window or {"after": r.after, "up_to": r.up_to}))
+        if c.cguid not in self.sort_keys:
+            return ranges.scan(view, r)
+        keyed = view.withColumn("_sort", self.sort_keys[c.cguid](F.col("key")))
+        whole = ranges.within(keyed, replace(r, keys_only=False), "_sort").orderBy(F.col("_sort").asc() if r.ascending else F.col("_sort").desc()).drop("_sort")
+        return whole.select("key") if r.keys_only else whole
+
+    def put(self, c: Container, batch: DataFrame, mode: str = "set", order: str = "ord") -> int:
+        """Writes a batch of key, data and order, numbered after what is stored; how many rows were written.
+
+        The container's condition, if it has one, decides on each row; else mode is that of multi_put.
+        """
+        log, now = self.log(c), live(self.log(c))
+        rows = points.conditional_put(now, batch, self.conditions[c.cguid], order=order) if c.cguid in self.conditions else points.multi_put(now, batch, mode, order=order)
+        base = log.agg(F.coalesce(F.max("seqno"), F.lit(0))).first()[0]
+        numbered = points.numbered(rows, base, [order]).withColumn("tombstone", F.lit(False))
+        columns = [F.col(f.name) if f.name in numbered.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema]
+        written = numbered.select(*columns).persist()
+        try:
+            n = written.count()
+            self.append(c, written)
+        finally:
+            written.unpersist()
+        return n
+
+    # snapshots
+
+    def create_snapshot(self, c: Container, ts: int) -> int:
+        have = self.snaps.setdefault(self._known(c).cguid, [])
+        if len(have) >= MAX_SNAPSHOTS:
+            raise StoreError("TOO_MANY_SNAPSHOTS")
+        have.append((self.log(c).agg(F.coalesce(F.max("seqno"), F.lit(0))).first()[0], ts))
+        return have[-1][0]
+
+    def delete_snapshot(self, c: Container, number: int) -> None:
+        have = self.snaps.get(self._known(c).cguid, [])
+        if number not in [n for n, _ in have]:
+            raise StoreError("SNAPSHOT_NOT_FOUND", str(number))
+        self.snaps[c.cguid] = [x for x in have if x[0] != number]
+
+    def snapshots(self, c: Container) -> list[tuple[int, int]]:
+        return sorted(self.snaps.get(self._known(c).cguid, []))
+
+    def scavenge(self, c: Container) -> Container:
+        """Drops the versions that no read at the latest state or a snapshot needs."""
+        return self.compact(c, snapshots.scavenge(self.log(c), [n for n, _ in self.snapshots(c)]))
+
+    def simulate_backup(self, c: Container, after: int, up_to: int) -> int:
+        return versions.count_increment(self.log(c), after, up_to).first()["n_keys"]
+
+    def check(self, c: Container) -> DataFrame:
+        """Violations in the container's log: numbers used twice for a key, and rows without key or number."""
+        log = self.log(c)
+        missing = log.where("key IS NULL OR seqno IS NULL").select(F.lit("version").alias("entity"), F.col("seqno").cast("string").alias("id"), F.lit("NULL_KEY").alias("error"), F.lit("a version has a key and a number").alias("msg"))
+        return integrity.check(integrity.check_duplicates(log.where("key IS NOT NULL")), missing)
+
     def append(self, c: Container, rows: DataFrame) -> None:
         """Writing is appending; what a reader sees follows from the newest versions."""
         self._known(c)
@@ -188,6 +261,35 @@ class Store:
             whole = whole.unionByName(p)
         return whole.unionByName(whole.agg(F.sum("num_objs").alias("num_objs"), F.sum("used_bytes").alias("used_bytes")).select(F.lit(None).cast("string").alias("container"), F.lit(None).cast("string").alias("kind"), "num_objs", "used_bytes"))
 
+    def summary(self) -> DataFrame:
+        """(kind, containers, num_objs, used_bytes) of the containers by kind."""
+        return self.stats().where("kind IS NOT NULL").groupBy("kind").agg(F.count(F.lit(1)).alias("containers"), F.sum("num_objs").alias("num_objs"), F.sum("used_bytes").alias("used_bytes"))
+
+    def command(self, line: str):
+        """The administrator's commands: container list, container stats NAME, stats, snapshot list NAME,
+        snapshot create NAME TIME, snapshot delete NAME NUMBER, snapshot sim_backup NAME AFTER UP_TO."""
+        words = line.split()
+        named = lambda i: self._find(words[i]) or self._unknown(words[i])
+        match words:
+            case ["container", "list"]:
+                return self.listed()
+            case ["container", "stats", name]:
+                return self.stats().where(F.col("container") == named(2).name)
+            case ["stats"]:
+                return self.summary()
+            case ["snapshot", "list", _]:
+                return self.snapshots(named(2))
+            case ["snapshot", "create", _, ts]:
+                return self.create_snapshot(named(2), int(ts))
+            case ["snapshot", "delete", _, number]:
+                return self.delete_snapshot(named(2), int(number))
+            case ["snapshot", "sim_backup", _, after, up_to]:
+                return self.simulate_backup(named(2), int(after), int(up_to))
+        raise StoreError("INVALID_PARAMETER", f"no such command: {line!r}")
+
+    def _unknown(self, name: str) -> Container:
+        raise StoreError("CONTAINER_UNKNOWN", name)
+
     def _find(self, name: str) -> Container | None:
         return next((c for c in self.containers.values() if c.name == name), None)
 

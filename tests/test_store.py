@@ -74,3 +74,28 @@ def test_stream_ingest_and_upsert(spark, tmp_path):
     assert len(seen) >= 3 and all(n <= 5 for _, n in seen)
     streams.to_memory(streams.statistics_stream(source, "seqno", "key"), "stats_of_keys")
     assert spark.table("stats_of_keys").agg(F.sum("n")).first()[0] == 100
+
+
+def test_special_containers_puts_and_commands(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    c = store.open_special("sp", sort_key=lambda k: F.reverse(k), applies=lambda old, new: new > old, create=True, schema=log_schema(spark))
+    batch = spark.createDataFrame([("ab", "5", 1), ("ba", "1", 2), ("ab", "4", 3), ("ab", "6", 4)], "key string, data string, ord long")
+    assert store.put(c, batch) == 3
+    assert store.command("snapshot create sp 77") == 3
+    assert store.put(c, spark.createDataFrame([("ba", "0", 1), ("ba", "2", 2)], "key string, data string, ord long")) == 1
+    assert [(r["key"], r["data"], r["seqno"]) for r in store.scan(c).collect()] == [("ba", "2", 4), ("ab", "6", 3)]
+    assert [r["data"] for r in store.scan(c, up_to=3).collect()] == ["1", "6"]
+    assert store.command("snapshot list sp") == [(3, 77)] and store.command("snapshot sim_backup sp 3 4") == 1
+    c = store.scavenge(c)
+    assert store.log(c).count() == 3 and [r["data"] for r in store.scan(c, up_to=3).collect()] == ["1", "6"]
+    assert store.command("container stats sp").first()["num_objs"] == 2 and store.command("stats").first()["containers"] == 1
+    assert store.check(c).count() == 0
+    store.append(c, store.log(c).limit(1))
+    assert store.check(c).count() == 1
+    store.command("snapshot delete sp 3")
+    for bad in ("snapshot delete sp 3", "snapshot list zz", "reboot"):
+        with pytest.raises(StoreError):
+            store.command(bad)
+    plain = store.open("plain", create=True, schema=log_schema(spark))
+    assert store.put(plain, batch, "insert") == 2
+    assert store.put(plain, batch, "insert") == 0 and store.put(plain, batch, "update") == 4
