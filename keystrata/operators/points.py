@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StoreError
 from ..functions.ordered import row_numbers
-from .versions import newest
+from .versions import live, newest
 
 #: Rows of keys that may be broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
@@ -31,6 +31,15 @@ def multi_get(live: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return live.join(F.broadcast(wanted) if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else wanted, key, "left_semi")
 
 
+def live_of(log: DataFrame, keys: DataFrame, key: str = "key", **window) -> DataFrame:
+    """The live view of a log for the given keys only.
+
+    Versions of other keys are left out at the scan, before the aggregation by key, so a write of few
+    keys does not shuffle the whole log.
+    """
+    return live(multi_get(log, keys, key), key=key, **window)
+
+
 def read(live: DataFrame, value: Any, key: str = "key") -> Any:
     """The row of one key; raises OBJECT_UNKNOWN."""
     rows = get(live, value, key).limit(1).collect()
@@ -52,7 +61,7 @@ def update(live: DataFrame, batch: DataFrame, key: str = "key") -> DataFrame:
 def delete(live: DataFrame, keys: DataFrame, key: str = "key", tombstone: str = "tombstone") -> DataFrame:
     """Tombstones for those of the keys that are live; a missing key is not found and writes nothing."""
     empty = [F.lit(None).cast(live.schema[c].dataType).alias(c) if c not in (key, tombstone) else F.lit(True).alias(c) if c == tombstone else F.col(key) for c in live.columns]
-    return keys.select(key).distinct().join(live.select(key), key, "left_semi").select(*empty)
+    return multi_get(live, keys, key).select(*empty)
 
 
 def force_delete(log: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:

@@ -158,18 +158,23 @@ def _batch(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select((F.col("c_custkey") * 7 % 400).alias("key"), F.col("c_acctbal").alias("data"), F.col("c_custkey").alias("ord"))
 
 
+def _touched(spark: SparkSession, sf: str) -> DataFrame:
+    """The live objects of the batch's keys."""
+    return points.live_of(version_log(spark, sf), _batch(spark, sf), up_to=5000).select("key", "data", "seqno")
+
+
 L5 = f"SELECT key, data, seqno FROM ({live_sql('seqno <= 5000')})"
 BATCH = "SELECT c_custkey * 7 % 400 AS key, c_acctbal AS data, c_custkey AS ord FROM customer"
 
 
 @query(f"SELECT * FROM ({BATCH}) WHERE key NOT IN (SELECT key FROM ({L5}))")
 def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
-    return points.insert(_live(spark, sf), _batch(spark, sf))
+    return points.insert(_touched(spark, sf), _batch(spark, sf))
 
 
 @query(f"SELECT * FROM ({BATCH}) WHERE key IN (SELECT key FROM ({L5}))")
 def update_if_present(spark: SparkSession, sf: str) -> DataFrame:
-    return points.update(_live(spark, sf), _batch(spark, sf))
+    return points.update(_touched(spark, sf), _batch(spark, sf))
 
 
 @query(f"SELECT DISTINCT key, CAST(NULL AS DOUBLE) AS data, CAST(NULL AS BIGINT) AS seqno, true AS tombstone, CAST(NULL AS BIGINT) AS create_time FROM ({BATCH}) WHERE key IN (SELECT key FROM ({L5}))")
@@ -189,23 +194,23 @@ def mput_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH b AS ({BATCH}), l AS ({L5}), v AS (SELECT min(ord) AS stop FROM (SELECT ord FROM b WHERE key IN (SELECT key FROM l) UNION ALL SELECT ord FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) > 1)) SELECT b.* FROM b, v WHERE stop IS NULL OR ord < stop")
 def mput_insert(spark: SparkSession, sf: str) -> DataFrame:
-    return points.multi_put(_live(spark, sf), _batch(spark, sf), "insert")
+    return points.multi_put(_touched(spark, sf), _batch(spark, sf), "insert")
 
 
 @query(f"WITH b AS (SELECT * FROM ({BATCH}) WHERE key < 30), l AS ({L5}), v AS (SELECT min(ord) AS stop FROM b WHERE key NOT IN (SELECT key FROM l)) SELECT b.* FROM b, v WHERE stop IS NULL OR ord < stop")
 def mput_update(spark: SparkSession, sf: str) -> DataFrame:
-    return points.multi_put(_live(spark, sf), _batch(spark, sf).where("key < 30"), "update")
+    return points.multi_put(_touched(spark, sf), _batch(spark, sf).where("key < 30"), "update")
 
 
 @query(f"WITH b AS (SELECT key, max(data) AS data FROM ({BATCH}) GROUP BY key) SELECT b.key, b.data, (SELECT min(ord) FROM ({BATCH}) x WHERE x.key = b.key AND x.data = b.data) AS ord FROM b LEFT JOIN ({L5}) l ON l.key = b.key WHERE l.key IS NULL OR b.data > l.data")
 def conditional_put_max(spark: SparkSession, sf: str) -> DataFrame:
-    return points.put_if_greater(_live(spark, sf), _batch(spark, sf))
+    return points.put_if_greater(_touched(spark, sf), _batch(spark, sf))
 
 
 @query(f"""WITH b AS (SELECT b.key, b.data, b.ord, l.data AS old, max(b.data) OVER (PARTITION BY b.key ORDER BY b.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY b.key ORDER BY b.ord) AS rn FROM ({BATCH}) b LEFT JOIN ({L5}) l ON l.key = b.key)
 SELECT key, data, ord FROM b WHERE (old IS NULL AND rn = 1) OR data > greatest(coalesce(old, -1e18), coalesce(before, -1e18))""")
 def conditional_put_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return points.conditional_put(_live(spark, sf), _batch(spark, sf), lambda old, new: new > old)
+    return points.conditional_put(_touched(spark, sf), _batch(spark, sf), lambda old, new: new > old)
 
 
 @query(f"SELECT key, data, ord, 10000 + row_number() OVER (ORDER BY ord) AS seqno FROM ({BATCH})")

@@ -193,7 +193,8 @@ class Store:
 
         The container's condition, if it has one, decides on each row; else mode is that of multi_put.
         """
-        log, now = self.log(c), live(self.log(c))
+        log = self.log(c)
+        now = points.live_of(log, batch)
         rows = points.conditional_put(now, batch, self.conditions[c.cguid], order=order) if c.cguid in self.conditions else points.multi_put(now, batch, mode, order=order)
         base = log.agg(F.coalesce(F.max("seqno"), F.lit(0))).first()[0]
         numbered = points.numbered(rows, base, [order]).withColumn("tombstone", F.lit(False))

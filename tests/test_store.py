@@ -57,6 +57,14 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "EqualTo(key,5)" in plan and "data" not in plan.split("ReadSchema")[1]
 
 
+def test_few_keys_reach_the_scan_of_the_log(spark, sf):
+    from keystrata.sources.tables import version_log
+
+    few = spark.createDataFrame([(3, 1.0, 1), (99999, 2.0, 2)], "key long, data double, ord long")
+    plan = points.live_of(version_log(spark, sf), few)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")  # the join stands below the aggregation
+
+
 def test_properties(spark, tmp_path):
     (tmp_path / "p").write_text("# comment\nA=1\n\n B = two = 2 \n")
     assert Properties().load(spark, str(tmp_path / "p")) == {"A": "1", "B": "two = 2"}
