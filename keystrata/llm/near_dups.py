@@ -155,15 +155,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataF
 def _next_pairs(checked: DataFrame, t: float) -> tuple[DataFrame, DataFrame] | None:
     """Pairs (a, b), and buckets (bucket, b, ok), of what may be linked though one failed against their
     common leader; None if nothing failed."""
-    families = checked.groupBy("a").agg(F.min("ok").alias("all_ok"), F.count(F.lit(1)).alias("n")).where("not all_ok and n > 1").select("a")
+    room = (1 + t) / t
+    cap = F.col("both") * room - F.col("nb") + 1e-9  # the largest size of a partner that has nothing outside the leader
+    families = checked.groupBy("a").agg(F.min("ok").alias("all_ok"), F.count(F.lit(1)).alias("n"), F.min("nb").alias("least"), F.max(F.when(~F.col("ok"), cap)).alias("cap")).where("not all_ok and n > 1").drop("all_ok", "n")
     own = stored(checked.join(families, "a"), "families")
     if own.isEmpty():
         return None
-    room = (1 + t) / t
-    sizes = own.where(F.col("both") >= t * F.col("nb")).select("a", "b", "nb", "both", "ok")
-    x = sizes.where("not ok").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("both").alias("ix"))
-    y = sizes.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("both").alias("iy"), "ok")
-    small = x.join(y, "a").where((F.col("nx") + F.col("ny") <= F.least("ix", "iy") * room) & (F.col("ok") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    sizes = own.where(F.col("both") >= t * F.col("nb"))
+    x = sizes.where(~F.col("ok") & (cap >= F.col("least"))).select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("both").alias("ix"))
+    y = sizes.where(F.col("nb") <= F.col("cap")).select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("both").alias("iy"), "ok")
+    small = x.join(y, "a").where((F.col("nx") + F.col("ny") <= F.least("ix", "iy") * room + 1e-9) & (F.col("ok") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # shingles outside the leader that several documents of the family have
     out = own.select("a", "b", F.explode("outside").alias("s"))
     shared = out.groupBy("a", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -296,3 +297,17 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
         null = kept.where(F.col(f"`{doc_id}`").isNull())
         kept = kept.where(F.col(f"`{doc_id}`").isNotNull()).dropDuplicates([doc_id]).unionByName(null)
     return kept
+
+
+#: The classes in DuckDB's SQL for unique ids, from all pairs that share a shingle: for small tables.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE} + 1, 1) + 1)) AS p FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + {SHINGLE - 1}], ' ') AS s FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE common >= {SIMILARITY} * (x.n + y.n - common) - 1e-9),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS class_id FROM d LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""

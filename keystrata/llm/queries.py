@@ -85,6 +85,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_minhash_near_dups": near_dups.ORACLE_SQL,
+    "op9_substring_dedup": substring_dups.ORACLE_SQL,
     "op7_warc_fixity": warc.ORACLE_SQL,
     "op8_exact_topk": topk.ORACLE_SQL,
     "op5_secret_scans": secrets.ORACLE_SQL,

@@ -191,3 +191,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     out = dealt.groupBy("group").cogroup(bitmaps.groupBy("group")).applyInArrow(lambda d, b: _apply(d, b, size, bits, with_text), schema)
     kept = [c for c in out.columns if c not in ("id", "nth")]
     return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(clean_name(kept, doc_id)), *kept)
+
+
+#: The same in DuckDB's SQL for unique ids: windows are compared as strings of words.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - {SIZE} + 2)) AS p FROM d WHERE len(w) >= {SIZE}),
+k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(w[p : p + {SIZE - 1}], ' ') ORDER BY doc_id, p) AS nth FROM p),
+j AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+c AS (SELECT j.doc_id, j.j, j.word, max(CASE WHEN k.nth > 1 THEN k.p END) OVER (PARTITION BY j.doc_id ORDER BY j.j ROWS UNBOUNDED PRECEDING) AS last FROM j LEFT JOIN k ON k.doc_id = j.doc_id AND k.p = j.j),
+r AS (SELECT doc_id, count(*) FILTER (last > j - {SIZE}) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (last IS NULL OR last <= j - {SIZE}) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
