@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker holds in one step.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 
 
 _shipped: set[str] = set()

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import clean_name, ship, steps, stored
 
 CAPACITY, END_ID = 4096, 1
-CACHED_WORDS, CACHED_PIECES, CACHED_LENGTH = 1_000_000, 400_000, 40
+CACHED_WORDS, CACHED_PIECES, CACHED_LENGTH = 300_000, 200_000, 40
 
 
 class PieceIds(dict):
@@ -102,6 +102,10 @@ class WordIds(dict):
     def whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
@@ -248,7 +252,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
 
     ship(docs.sparkSession)
     number = numbered(names[2], (task, nth))
-    return docs.select(*(f"`{c}`" for c in [*keep, text])).mapInArrow(lambda batches: number(cut(batches)), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from number(cut(batches))
+        finally:  # workers outlive tasks; the cache would stay in their memory
+            word_ids(tokenizer_path).forget()
+
+    return docs.select(*(f"`{c}`" for c in [*keep, text])).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

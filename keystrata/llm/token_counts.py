@@ -121,11 +121,14 @@ def token_counts(docs: DataFrame, vocabulary_path: str, text: str = "text", out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(vocabulary_path)
-        for batch in batches:
-            for part in steps(batch, text):
-                counts = [of.count(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
-                columns = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*keep, out])
+        try:
+            for batch in batches:
+                for part in steps(batch, text):
+                    counts = [of.count(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                    columns = [part.column(part.schema.get_field_index(c)) for c in keep]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*keep, out])
+        finally:  # workers outlive tasks; the cache would stay in their memory
+            of.clear()
 
     ship(docs.sparkSession)
     return docs.select(*(f"`{c}`" for c in [*keep, text])).mapInArrow(run, schema)

@@ -13,6 +13,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTE = np.random.default_rng(20260102).integers(0, 1 << 64, 256, np.uint64, endpoint=False) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BLOCK = 1 << 19
 _WINDOW = np.uint64(0xD1342543DE82EF95)
 
 
@@ -38,7 +39,7 @@ def _powers_upto(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_upto(max(23, int(n).bit_length()))
+    return _powers_upto(max(20, n.bit_length()))
 
 
 class Words:
@@ -68,10 +69,16 @@ class Words:
         self.start = np.flatnonzero(first & ~gap)
         self.end = np.flatnonzero(last & ~gap) + 1
         self.bounds = np.searchsorted(self.start, at)  # words of text i: bounds[i] to bounds[i + 1]
-        power, inverse = _powers(size)
-        total = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * power[:size], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = np.empty(len(self.start), np.uint64)
+        cuts = np.unique(np.append(np.searchsorted(self.start, np.arange(0, size, _BLOCK)), len(self.start)))
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):  # blocks of whole words bound the memory
+            base = self.start[a]
+            begin, end = self.start[a:b] - base, self.end[a:b] - base
+            power, inverse = _powers(int(end[-1]))
+            total = np.zeros(end[-1] + 1, np.uint64)
+            np.cumsum(_BYTE[self.data[base : base + end[-1]]] * power[: end[-1]], out=total[1:])
+            self.hash[a:b] = (total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)
+        self.hash = mix(self.hash)
         self.counts = np.diff(self.bounds)
         self.texts = n
 
