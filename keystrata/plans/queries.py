@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordered import row_numbers
-from ..functions.scalars import blocks_512, format_bytes, format_count, key_prefix, log2_bucket
+from ..functions.scalars import blocks_512, epoch_seconds, format_bytes, format_count, key_prefix, log2_bucket
 from ..operators import backup, caches, expiry, heavy_hitters, integrity, log_containers, points, ranges, range_update, snapshots, statistics, transactions, versions
 from ..sources.tables import access_log, expiring_log, log_records, table, version_log
 
@@ -645,14 +645,12 @@ def hot_keys_stream(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import streams
 
     events = table(spark, sf, "events")
-    source = streams.file_stream(spark, f"{sf}/events*.parquet", events.schema).select("ts", F.col("event_type").alias("key"))
+    source = streams.file_stream(spark, f"{sf}/events*.parquet", events.schema).select(F.timestamp_seconds(epoch_seconds("ts")).alias("ts"), F.col("event_type").alias("key"))
     streams.to_memory(streams.hot_keys_stream(source, "ts", "key"), "keystrata_hot")
     return spark.table("keystrata_hot").select(F.unix_timestamp("start").alias("start"), "key", "n")
 
 
 def _versions_of(e: DataFrame) -> DataFrame:
-    from ..functions.scalars import epoch_seconds
-
     return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seqno"), (F.col("event_type") == "error").alias("tombstone"), F.col("value").alias("data"), epoch_seconds("ts").alias("create_time"))
 
 

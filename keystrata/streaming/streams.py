@@ -6,6 +6,7 @@ models has none.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,15 @@ def upsert_latest(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
 
 
 def to_memory(result: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:
-    """Runs to the end of the input and keeps the result as a table of that name; for small results."""
-    query = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs to the end of the input and keeps the result as a table of that name; for small results.
+
+    State goes to the folder that executors share (spark.checkpoint.dir), where the session names one.
+    """
+    spark = result.sparkSession
+    writer = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}")
+    query = writer.start()
     query.awaitTermination()
     return query

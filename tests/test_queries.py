@@ -15,6 +15,15 @@ def test_query_without_sql_runs(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("name", ["latest_stream", "hot_keys_stream", "age_histogram"])
+def test_any_session_zone_and_a_second_run(spark, sf, duck, same, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        same(queries.QUERIES[name](spark, sf).toPandas(), duck.sql(queries.ORACLES[name]).df())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_entry(spark):
     import __spark_entry__
 
