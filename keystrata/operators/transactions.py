@@ -63,7 +63,8 @@ def conflicts(touches: DataFrame) -> DataFrame:
 
     touches: trx, node, lo, hi, write. Two readers do not conflict. Of two others the one whose interval
     ends first comes first: relation `before`; overlapping intervals exclude each other: `overlap`.
-    An equality join on the node: intended for windows of recent transactions, as the log keeps them.
+    All pairs of a node: a report for a few transactions. Ordering many of them takes uncommittable
+    and order_edges, whose work and size follow the number of touches.
     """
     a = touches.select("node", *(F.col(c).alias(f"{c}1") for c in ("trx", "lo", "hi", "write")))
     b = touches.select("node", *(F.col(c).alias(f"{c}2") for c in ("trx", "lo", "hi", "write")))
@@ -74,12 +75,48 @@ def conflicts(touches: DataFrame) -> DataFrame:
     return edges.select(F.when(after, F.col("trx2")).otherwise(F.col("trx1")).alias("first"), F.when(after, F.col("trx1")).otherwise(F.col("trx2")).alias("second"), F.when(after, "before").otherwise(F.col("relation")).alias("relation")).distinct()
 
 
-def commit_order(trx: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def uncommittable(touches: DataFrame) -> DataFrame:
+    """(trx) that overlap another transaction on some node, one of the two writing: they exclude each other.
+
+    Found by running extremes on either side in order of intervals, without pairs.
+    """
+    from pyspark.sql import Window
+
+    up = Window.partitionBy("node").orderBy("lo", "hi", "trx").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("node").orderBy("lo", "hi", "trx").rowsBetween(1, Window.unboundedFollowing)
+    writes = lambda c: F.when(F.col("write"), F.col(c))
+    met = touches.select(
+        "trx",
+        F.when(F.col("write"), F.max("hi").over(up)).otherwise(F.max(writes("hi")).over(up)).alias("reach"),
+        F.when(F.col("write"), F.min("lo").over(down)).otherwise(F.min(writes("lo")).over(down)).alias("next"),
+        "lo", "hi",
+    )
+    return met.where("reach >= lo OR next <= hi").select("trx").distinct()
+
+
+def order_edges(touches: DataFrame, bad: DataFrame) -> DataFrame:
+    """(first, second, relation): on each node a writer comes before the readers up to the next writer, and
+    all of these before that one. The other pairs follow from these; there are at most three a touch."""
+    from pyspark.sql import Window
+
+    good = touches.join(bad, "trx", "left_anti")
+    turn = Window.partitionBy("node").orderBy("lo", "hi", "trx").rowsBetween(Window.unboundedPreceding, 0)
+    seen = good.withColumn("turn", F.count(F.when(F.col("write"), 1)).over(turn))  # the writers up to here
+    writers = seen.where("write").select("node", "turn", F.col("trx").alias("w"))
+    readers = seen.where("NOT write").select("node", "turn", "trx")
+    after = readers.join(writers, ["node", "turn"]).select(F.col("w").alias("first"), F.col("trx").alias("second"))
+    following = writers.select("node", (F.col("turn") - 1).alias("turn"), "w")
+    before = seen.select("node", "turn", "trx").join(following, ["node", "turn"]).select(F.col("trx").alias("first"), F.col("w").alias("second"))
+    return after.union(before).distinct().withColumn("relation", F.lit("before"))
+
+
+def commit_order(trx: DataFrame, edges: DataFrame, bad: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
     """(trx, level): level 0 commits first; -1 for those in a cycle or an overlap, which roll back.
 
     Each round takes the transactions without one before them; the number of rounds is the longest chain.
     """
-    bad = edges.where("relation = 'overlap'").select(F.explode(F.array("first", "second")).alias("trx")).distinct()
+    overlap = edges.where("relation = 'overlap'").select(F.explode(F.array("first", "second")).alias("trx"))
+    bad = (overlap if bad is None else overlap.union(bad)).distinct()
     left = trx.select("trx").distinct().join(bad, "trx", "left_anti").checkpoint()
     order = edges.where("relation = 'before'").select("first", "second")
     done: DataFrame | None = None

@@ -553,12 +553,12 @@ def map_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 # transactions
 
-TOUCHES = "SELECT o_custkey AS node, o_orderkey % 97 AS trx, min(o_orderkey) AS lo, max(o_orderkey) AS hi, bool_or(o_orderstatus = 'O') AS write FROM orders WHERE o_orderkey < 3000 GROUP BY 1, 2"
+TOUCHES = "SELECT o_custkey % 60 AS node, o_orderkey // 4 AS trx, min(o_orderkey) AS lo, max(o_orderkey) AS hi, bool_or(o_orderstatus = 'O') AS write FROM orders WHERE o_orderkey < 3000 GROUP BY 1, 2"
 
 
 def _touches(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").where("o_orderkey < 3000")
-    return o.groupBy(F.col("o_custkey").alias("node"), (F.col("o_orderkey") % 97).alias("trx")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.bool_or(F.col("o_orderstatus") == "O").alias("write"))
+    return o.groupBy((F.col("o_custkey") % 60).alias("node"), F.floor(F.col("o_orderkey") / 4).alias("trx")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.bool_or(F.col("o_orderstatus") == "O").alias("write"))
 
 
 @query(f"WITH t AS ({TOUCHES}) SELECT DISTINCT CASE WHEN b.hi < a.lo THEN b.trx ELSE a.trx END AS first, CASE WHEN b.hi < a.lo THEN a.trx ELSE b.trx END AS second, CASE WHEN b.hi < a.lo OR b.lo > a.hi THEN 'before' ELSE 'overlap' END AS relation FROM t a JOIN t b ON a.node = b.node AND a.trx < b.trx AND (a.write OR b.write)")
@@ -566,6 +566,22 @@ def trx_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return transactions.conflicts(_touches(spark, sf))
 
 
+BAD = f"SELECT DISTINCT a.trx FROM ({TOUCHES}) a JOIN ({TOUCHES}) b ON a.node = b.node AND a.trx <> b.trx AND (a.write OR b.write) AND a.lo <= b.hi AND b.lo <= a.hi"
+
+
+@query(BAD)
+def trx_uncommittable(spark: SparkSession, sf: str) -> DataFrame:
+    return transactions.uncommittable(_touches(spark, sf))
+
+
+@query(f"""WITH g AS (SELECT * FROM ({TOUCHES}) WHERE trx NOT IN ({BAD}))
+SELECT DISTINCT a.trx AS first, b.trx AS second, 'before' AS relation FROM g a JOIN g b ON a.node = b.node AND a.hi < b.lo AND (a.write OR b.write)
+WHERE NOT EXISTS (SELECT 1 FROM g c WHERE c.node = a.node AND c.write AND c.lo > a.hi AND c.hi < b.lo)""")
+def trx_order_edges(spark: SparkSession, sf: str) -> DataFrame:
+    touches = _touches(spark, sf)
+    return transactions.order_edges(touches, transactions.uncommittable(touches))
+
+
 @query(f"SELECT key, lsn, data FROM (SELECT user_id AS key, event_id AS lsn, value AS data, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id // 50 END AS trx FROM events) WHERE trx IS NULL OR trx % 4 <> 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1")
 def redo_replay(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")

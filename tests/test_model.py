@@ -239,6 +239,19 @@ def test_transactions(spark):
     assert order == {1: -1, 3: -1, 4: 0, 5: 0, 2: 1}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_order_without_pairs_is_the_order_of_all_pairs(spark, seed):
+    r = random.Random(seed)
+    rows = [(t, f"n{r.randrange(8)}", s, s + r.randrange(3), r.random() < 0.4) for t in range(60) for s in [t * 3 + r.randrange(4)] for _ in range(2)]
+    touches = spark.createDataFrame(list({(t, n): (t, n, a, b, w) for t, n, a, b, w in rows}.values()), "trx long, node string, lo long, hi long, write boolean")
+    pairs = transactions.conflicts(touches)
+    bad = transactions.uncommittable(touches)
+    assert {x[0] for x in bad.collect()} == {t for x in pairs.where("relation = 'overlap'").collect() for t in x[:2]}
+    edges = transactions.order_edges(touches, bad)
+    assert edges.count() <= pairs.where("relation = 'before'").count()
+    assert {tuple(x) for x in transactions.commit_order(touches, edges, bad).collect()} == {tuple(x) for x in transactions.commit_order(touches, pairs).collect()}
+
+
 def test_replay_twice_is_replay_once(spark):
     redo = spark.createDataFrame([("a", 1, "x", 1), ("a", 2, "y", 2), ("b", 3, "z", None)], "key string, lsn long, data string, trx long")
     committed = spark.createDataFrame([(1,)], "trx long")
