@@ -24,10 +24,11 @@ is a connected component. Documents of the same words are one node. A bucket is
    one whose shingles shared with L and those shared with others are too few for the smallest
    partner in the bucket.
 
-Rounds go on until no bucket with a failed document is left; a rest of few pairs and little text, both
-measured first, is settled in one task. So no link between candidates is lost,
-and work follows the number of documents, not the square of a group. Candidates and verified pairs
-stay in tables in the shared folder.
+Rounds go on until no bucket with a failed document is left, or until leaders come up again with
+nothing but known pairs, when the few documents left in a bucket are paired. A rest of few pairs and
+little text, both measured first, is settled in one task. So no link between candidates is lost, and
+work follows the number of documents, not the square of a group. Candidates and verified pairs stay
+in tables in the shared folder.
 
 Null texts and texts without a word are a class of their own each. Rows with the same id count as
 one document, whose text is the distinct texts in order, joined by line ends; rows of a null id are
@@ -247,21 +248,20 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     checked = verified.unionByName(stored(_verify(stored(pairs, "pairs"), texts, shingle, similarity), "verified"))
     verified = checked.drop("outside")
     links: DataFrame | None = None
-    while True:
-        left = _next_pairs(checked, similarity)
-        if left is None:
-            break
+    while (left := _next_pairs(checked, similarity)) is not None:
         small, in_bucket = left[0], stored(left[1], "rare-buckets")
+        known = verified.select("a", "b")
         links = _few(in_bucket, texts, shingle, similarity)
-        new = (small if links is not None else small.union(_led(in_bucket))).distinct()
-        known = verified.select("a", "b").union(verified.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = stored(new.join(known, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            checked = stored(_verify(pairs, texts, shingle, similarity), "verified")
-            verified = verified.unionByName(checked.drop("outside"))
-        elif links is None:
-            break
-        if links is not None:
+        # a leader is verified against all of its bucket, known or not, so that they are one family
+        pairs = stored(small if links is not None else small.union(_led(in_bucket)).distinct(), "pairs")
+        last = links is not None or pairs.join(known, ["a", "b"], "left_anti").isEmpty()
+        if last and links is None:  # the leaders have been through all of this: what is left is paired
+            one, two = in_bucket.alias("x"), in_bucket.alias("y")
+            both = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.b") < F.col("y.b")) & ~(F.col("x.ok") & F.col("y.ok")))
+            pairs = stored(both.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+        checked = stored(_verify(pairs, texts, shingle, similarity), "verified")
+        verified = verified.unionByName(checked.drop("outside"))
+        if last:
             break
     ids = signed.select("id", "k0", "k1")
     member = ids.join(nodes.select("k0", "k1", "node"), ["k0", "k1"], "left") if _wordless(signed) else ids.join(nodes.select("k0", "k1", "node"), ["k0", "k1"])

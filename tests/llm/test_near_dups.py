@@ -56,15 +56,20 @@ def corpus(seed, groups=6, copies=14):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_classes_are_the_brute_force_components(spark, seed):
+@pytest.mark.parametrize("seed,in_one_task", [(1, True), (2, False), (3, False)])
+def test_classes_are_the_brute_force_components(spark, seed, in_one_task, monkeypatch):
+    if not in_one_task:
+        monkeypatch.setattr(near_dups, "LOCAL_PAIRS", -1)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(docs).collect()}
     assert got == brute_classes(rows)
 
 
-def test_a_chain_is_one_class_though_its_ends_differ(spark):
+@pytest.mark.parametrize("in_one_task", [True, False])
+def test_a_chain_is_one_class_though_its_ends_differ(spark, in_one_task, monkeypatch):
+    if not in_one_task:
+        monkeypatch.setattr(near_dups, "LOCAL_PAIRS", -1)
     base = [f"w{i}" for i in range(100)]
     rows = [(k, " ".join([f"x{j}" for j in range(3 * k)] + base[3 * k :])) for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
