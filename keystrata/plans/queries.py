@@ -553,12 +553,12 @@ def map_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 # transactions
 
-TOUCHES = "SELECT o_custkey % 60 AS node, o_orderkey // 60 + o_orderkey % 2 AS trx, min(o_orderkey) AS lo, max(o_orderkey) AS hi, bool_or(o_orderstatus = 'O') AS write FROM orders WHERE o_orderkey < 3000 GROUP BY 1, 2"
+TOUCHES = "SELECT o_custkey % 500 AS node, o_orderkey // 60 + o_orderkey % 2 AS trx, min(o_orderkey) AS lo, max(o_orderkey) AS hi, bool_or(o_orderstatus = 'O') AS write FROM orders WHERE o_orderkey < 3000 GROUP BY 1, 2"
 
 
 def _touches(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").where("o_orderkey < 3000")
-    return o.groupBy((F.col("o_custkey") % 60).alias("node"), (F.floor(F.col("o_orderkey") / 60) + F.col("o_orderkey") % 2).alias("trx")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.bool_or(F.col("o_orderstatus") == "O").alias("write"))
+    return o.groupBy((F.col("o_custkey") % 500).alias("node"), (F.floor(F.col("o_orderkey") / 60) + F.col("o_orderkey") % 2).alias("trx")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.bool_or(F.col("o_orderstatus") == "O").alias("write"))
 
 
 @query(f"WITH t AS ({TOUCHES}) SELECT DISTINCT CASE WHEN b.hi < a.lo THEN b.trx ELSE a.trx END AS first, CASE WHEN b.hi < a.lo THEN a.trx ELSE b.trx END AS second, CASE WHEN b.hi < a.lo OR b.lo > a.hi THEN 'before' ELSE 'overlap' END AS relation FROM t a JOIN t b ON a.node = b.node AND a.trx < b.trx AND (a.write OR b.write)")
