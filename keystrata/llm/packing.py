@@ -20,6 +20,7 @@ new columns make the new ones end in underscores.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from .common import clean_name, ship, steps, stored
 
 CAPACITY, END_ID = 4096, 1
-CACHED_WORDS, CACHED_PIECES, CACHED_LENGTH = 300_000, 200_000, 40
+CACHED_WORDS, CACHED_PIECES, CACHED_LENGTH = 400_000, 100_000, 40
 
 
 class PieceIds(dict):
@@ -46,9 +47,12 @@ class PieceIds(dict):
         self.tokenize = model.tokenize
         self.four = [i.to_bytes(4, "little") for i in range(ids)]
 
-    def __missing__(self, piece: str) -> bytes:
+    def made(self, piece: str) -> bytes:
         four = self.four
-        ids = b"".join([four[t.id] for t in self.tokenize(piece)])
+        return b"".join([four[t.id] for t in self.tokenize(piece)])
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.made(piece)
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHED_PIECES:
                 self.clear()
@@ -85,10 +89,10 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if self.split is not None and max(word, default="") < "\u0100" and "<|" not in word:
             word_ = word.lower()
-            if not word.isascii() or not word.isprintable():
+            if word_.isalpha():  # one pre-token, which only this word's entry keeps
+                ids = self.pieces.made(word_ if word_.isascii() else word_.translate(self.alphabet))
+            elif not word.isascii() or not word.isprintable():
                 ids = b"".join([self.pieces[p.translate(self.alphabet)] for p in self.split(word_)])
-            elif word.isalpha():
-                ids = self.pieces[word_]
             else:
                 ids = b"".join([self.pieces[p] for p in self.split(word_)])
         else:
@@ -107,7 +111,26 @@ class WordIds(dict):
         self.pieces.clear()
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        if self.split is not None and "<|" not in text and _is_latin_1(text):
+            # fewer different words: in lower case, and without a lone full stop or comma at the end
+            text = _LAST_STOP(r" \g<0>", text.lower())
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+#: A stop after a letter or digit and before white space is a pre-token of its own.
+_LAST_STOP = re.compile("[.,](?<=[a-z0-9\xdf-\xf6\xf8-\xff][.,])(?=[ \n]|\\Z)").sub
+
+
+def _is_latin_1(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=1)
