@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .common import clean_name, ship, steps, stored
 
 CAPACITY, END_ID = 4096, 1
-CACHED_WORDS, CACHED_PIECES, CACHED_LENGTH = 400_000, 100_000, 40
+CACHED_WORDS, CACHED_PIECES, CACHED_LENGTH = 200_000, 50_000, 40
 
 
 class PieceIds(dict):
@@ -281,6 +281,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: i
             yield from number(cut(batches))
         finally:  # workers outlive tasks; the cache would stay in their memory
             word_ids(tokenizer_path).forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*(f"`{c}`" for c in [*keep, text])).mapInArrow(run, schema)
 
