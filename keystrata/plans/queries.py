@@ -557,7 +557,7 @@ TOUCHES = "SELECT o_custkey % 500 AS node, o_orderkey // 60 + o_orderkey % 2 AS
 
 
 def _touches(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderkey < 3000")
+    o = table(spark, sf, "orders")  # all of them, where TOUCHES has the first 3,000
     return o.groupBy((F.col("o_custkey") % 500).alias("node"), (F.floor(F.col("o_orderkey") / 60) + F.col("o_orderkey") % 2).alias("trx")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.bool_or(F.col("o_orderstatus") == "O").alias("write"))
 
 
