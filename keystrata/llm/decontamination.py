@@ -1,13 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing (operator 10), with DataFrame functions alone.
 
 Words are the lower-cased runs of letters and digits. At every place of a document and of a
-benchmark item two masks of 12 places each take 8 words and ignore the other 4; equal hashes of the
-taken words are hits. A hit lines the document up with the whole item, and an overlap is verified on
-that line by comparing words: some stretch of 16 words (or the item, if shorter) around the hit must
-have at least 80 % equal words in place. So a passage is found though every few words are replaced.
+benchmark item masks take some words and ignore those between; equal hashes of the taken words are
+hits. A hit lines the document up with the whole item, and an overlap is verified on that line by
+comparing words: some stretch of 16 words (or the item, if shorter) around the hit must have at
+least 80 % equal words in place. So a passage is found though every few words are replaced.
 
-Items of 5 to 11 words have a seed of all their words; shorter ones can't be told from common
-phrases and match nothing. Null and empty texts have no words and no rows.
+No overlap that verification accepts is without a hit. It lets 3 words be replaced from 15 words on,
+2 from 10 and 1 from 5; so of five blocks of 3, 2 or 1 words in a row, 2, 3 or 4 blocks are whole
+wherever the replaced words are, and there is a mask for each such choice of blocks.
+
+Items under 5 words can't be told from common phrases and match nothing. Null and empty texts have
+no words and no rows.
 
 Items are broadcast while their seeds with their words take at most BROADCAST_BYTES, measured on the
 table first; a larger benchmark is joined by a shuffle of the hashes. Documents are read once and only
@@ -16,15 +20,27 @@ verified hits are shuffled, after a partial aggregation.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = r"[^\p{L}\p{N}]+"
-# The places each seed takes.
+# The places each seed of the SQL takes.
 MASKS = ("111010011011", "110110100111")
 SPAN = 12
 SHORTEST, STRETCH, EQUAL = 5, 16, 0.8
 BROADCAST_BYTES = 64 << 20
+BLOCKS = 5
+
+
+def _masks(width: int, whole: int) -> tuple[str, ...]:
+    """A mask for each choice of whole blocks of so many places; those that differ by a shift are one."""
+    return tuple(sorted({"".join("01"[b in chosen] * width for b in range(BLOCKS)).strip("0") for chosen in combinations(range(BLOCKS), whole)}))
+
+
+#: The masks of items of so many words, up to the next number.
+SEEDS = {5: _masks(1, 4), 10: _masks(2, 3), 15: _masks(3, 2)}
 
 
 def words(text: Column) -> Column:
@@ -46,9 +62,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     Rows with the same ids count together. doc_start is the document's word beside the item's first.
     """
     items = benchmark.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("iw"), F.octet_length(item_text).alias("bytes")).where(F.size("iw") >= SHORTEST).distinct()
-    facts = items.agg(F.collect_set(F.when(F.size("iw") < SPAN, F.size("iw"))).alias("short"), F.max(F.size("iw")).alias("longest"), F.sum((F.size("iw") * len(MASKS)).cast("double") * (F.col("bytes") + 24 * F.size("iw"))).alias("size")).first()
-    masks = list(MASKS) if (facts["longest"] or 0) >= SPAN else []
-    seeds_of = [(m, n, F.size("iw") >= SPAN) for n, m in enumerate(masks)] + [("1" * n, 100 + n, F.size("iw") == n) for n in sorted(facts["short"])]
+    kind = F.when(F.size("iw") < 10, 5).when(F.size("iw") < 15, 10).otherwise(15)
+    n_masks = F.coalesce(*(F.when(kind == k, F.lit(len(m))) for k, m in SEEDS.items()))
+    facts = items.agg(F.collect_set(kind).alias("kinds"), F.sum((F.size("iw") * n_masks).cast("double") * (F.col("bytes") + 24 * F.size("iw"))).alias("size")).first()
+    seeds_of = [(m, n, kind == k) for k in sorted(facts["kinds"]) for n, m in enumerate(SEEDS[k], 100 * k)]
     found = docs.select(F.col(doc_id).alias("doc"), words(F.col(text)).alias("w"))
     if not seeds_of:  # an empty benchmark
         seeds_of = [("1" * SPAN, -1, F.lit(False))]
