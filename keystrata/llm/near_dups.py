@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash, banding and verification (operator 4).
 
-A document is the weighted set of its shingles of five words (fewer words: one shingle of all of
-them); a shingle that occurs n times weighs 1 + ln n. ProbMinHash: each shingle sends arrivals of a
-Poisson process of its weight as rate to random registers, a register keeps its earliest arrival,
-and a shingle stops as soon as its next arrival is later than every register's. Two documents agree
-in a register with their probability Jaccard similarity. 128 registers in 32 bands of 4 make a pair
-of similarity 0.8 candidates with a probability of 1 - 5e-8.
+A document is the set of its shingles of five words (fewer words: one shingle of all of them).
+ProbMinHash: each shingle sends arrivals of a Poisson process of its weight as rate to random
+registers, a register keeps its earliest arrival, and a shingle stops as soon as its next arrival is
+later than every register's. Two documents agree in a register with their probability Jaccard
+similarity. Every shingle weighs 1, however often it occurs, so this is the similarity that
+verification compares. 128 registers in 32 bands of 4 make a pair of similarity 0.8 candidates with
+a probability of 1 - 5e-8.
 
 Two documents are linked if the Jaccard similarity of their shingle sets is at least t = 0.8; a class
 is a connected component. Documents of the same words are one node. A bucket is never paired off:
@@ -102,8 +103,8 @@ def signatures(docs: DataFrame, text: str, doc_id: str, shingle: int = SHINGLE,
             for batch in batches:
                 for part in steps(batch, "t"):
                     words = Words(part.column(1))
-                    t, s, n = weighted_shingles(words, shingle)
-                    registers_of = prob_min_hash(t, s, 1 + np.log(n), words.texts, registers).reshape(words.texts, bands, per_band)
+                    t, s, _ = weighted_shingles(words, shingle)
+                    registers_of = prob_min_hash(t, s, np.ones(len(s)), words.texts, registers).reshape(words.texts, bands, per_band)
                     band = np.broadcast_to(salt, (words.texts, bands)).copy()
                     for k in range(per_band):
                         band = mix(band * _GOLD + registers_of[:, :, k])
