@@ -500,7 +500,7 @@ def backup_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 1e9 THEN printf('%.2fbi', o_totalprice / 1e9) WHEN o_totalprice > 1e6 THEN printf('%.2fmi', o_totalprice / 1e6) WHEN o_totalprice > 1e3 THEN printf('%.2fki', o_totalprice / 1e3) ELSE printf('%.2f', o_totalprice) END AS count, CASE WHEN o_orderkey * 4096 > 1024 * 1024 THEN printf('%.2fm', o_orderkey * 4096 / 1048576.0) WHEN o_orderkey * 4096 > 1024 THEN printf('%.2fk', o_orderkey * 4096 / 1024.0) ELSE printf('%.2f', o_orderkey * 4096.0) END AS bytes FROM orders WHERE o_orderkey < 200000")
 def size_formats(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderkey < 200000")
+    o = table(spark, sf, "orders")
     return o.select("o_orderkey", format_count(F.col("o_totalprice")).alias("count"), format_bytes(F.col("o_orderkey") * 4096).alias("bytes"))
 
 

@@ -39,3 +39,10 @@ def test_transactions_of_all_orders(spark, tmp_path):
     got = [{tuple(x) for x in queries.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("trx_conflicts", "trx_uncommittable", "trx_order_edges")]
     assert got[0] == wanted[0] and got[1] == {(t,) for t in wanted[1]} and got[2] == wanted[2]
     assert any(min(x[:2]) > 3000 // 60 + 1 for x in wanted[0])
+
+
+def test_sizes_of_orders_of_any_key(spark, tmp_path):
+    rows = [(199_999, 1.5, "O", 1), (200_000, 1500.0, "O", 1), (300_000, 2.5e6, "F", 1), (5_000_000_000, 3e9, "P", 1)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderstatus string, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {tuple(r) for r in queries.QUERIES["size_formats"](spark, str(tmp_path)).collect()}
+    assert got == {(199_999, "1.50", "781.25m"), (200_000, "1.50ki", "781.25m"), (300_000, "2.50mi", "1.14b"), (5_000_000_000, "3.00bi", "19073.49b")}
