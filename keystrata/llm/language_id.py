@@ -11,8 +11,8 @@ symbol each, others share 37 by code point. Texts are processed whole.
 
 Null texts and texts without a letter are `und` with score 0. The score is the cosine, at least 0.
 
-The prototypes are fitted on at most about `rows_per_language` labelled rows of each language (all
-of them where there are fewer), chosen by a hash of the text, each text once; only they are sampled. Components are summed as scaled integers, so any task order gives the same prototypes.
+The prototypes are fitted on at most about `rows_per_language` distinct labelled texts of each
+language (all of them where there are fewer), chosen by a hash of the text; only they are sampled. Components are summed as scaled integers, so any task order gives the same prototypes.
 """
 
 from __future__ import annotations
@@ -124,7 +124,8 @@ class Prototypes:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Prototypes:
     """Prototypes from the rows with a language; the caller leaves out what is held out."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # distinct texts, of which the sample is taken: copies leave it as large
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", F.xxhash64("text").alias("copy")).distinct().groupBy("lang").count().collect()}
     if not counts:
         return Prototypes((), np.empty((0, DIMENSIONS), np.float32))
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, rows_per_language / n))) for k, n in sorted(counts.items())))
