@@ -199,7 +199,7 @@ def mput_insert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH b AS (SELECT * FROM ({BATCH}) WHERE key < 30), l AS ({L5}), v AS (SELECT min(ord) AS stop FROM b WHERE key NOT IN (SELECT key FROM l)) SELECT b.* FROM b, v WHERE stop IS NULL OR ord < stop")
 def mput_update(spark: SparkSession, sf: str) -> DataFrame:
-    return points.multi_put(_touched(spark, sf), _batch(spark, sf).where("key < 30"), "update")
+    return points.multi_put(_touched(spark, sf), _batch(spark, sf), "update")
 
 
 @query(f"WITH b AS (SELECT key, max(data) AS data FROM ({BATCH}) GROUP BY key) SELECT b.key, b.data, (SELECT min(ord) FROM ({BATCH}) x WHERE x.key = b.key AND x.data = b.data) AS ord FROM b LEFT JOIN ({L5}) l ON l.key = b.key WHERE l.key IS NULL OR b.data > l.data")

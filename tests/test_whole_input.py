@@ -46,3 +46,11 @@ def test_sizes_of_orders_of_any_key(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderstatus string, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
     got = {tuple(r) for r in queries.QUERIES["size_formats"](spark, str(tmp_path)).collect()}
     assert got == {(199_999, "1.50", "781.25m"), (200_000, "1.50ki", "781.25m"), (300_000, "2.50mi", "1.14b"), (5_000_000_000, "3.00bi", "19073.49b")}
+
+
+def test_updates_stop_at_the_first_missing_key_of_the_whole_batch(spark, tmp_path):
+    # the batch's keys are c_custkey * 7 % 400; those of the customers under 20 are there
+    spark.range(20).selectExpr("id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts", "id * 7 AS user_id", "'view' AS event_type", "1.0D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(90).selectExpr("id AS c_custkey", "CAST(id AS DOUBLE) AS c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {(r["key"], r["data"], r["ord"]) for r in queries.QUERIES["mput_update"](spark, str(tmp_path)).collect()}
+    assert got == {(k * 7, float(k), k) for k in range(20)}
