@@ -19,7 +19,7 @@ STATUS = {
     "INVALID_RANGE": "the flags and keys of the range do not fit together",
     "QUERY_DONE": "the range has no more rows",
     "QUERY_PAUSED": "the range stopped before this key",
-    "STATE_CHANGED": "the container was created anew since the cursor began",
+    "STATE_CHANGED": "the container or the catalog was changed meanwhile",
     "EXPIRED": "the object has expired",
     "SNAPSHOT_NOT_FOUND": "no snapshot has that sequence number",
     "TOO_MANY_SNAPSHOTS": "the container has no room for another snapshot",

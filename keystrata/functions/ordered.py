@@ -22,7 +22,8 @@ def range_bounds(df: DataFrame, key: str, ranges: int | None = None) -> list:
     if ranges < 2 or not total:
         return []
     hashed = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30))
-    sample = sorted(r[0] for r in df.where(F.col(key).isNotNull() & (hashed < int((1 << 30) * min(1.0, wanted / total)))).select(key).distinct().limit(4 * wanted).collect())
+    plain = lambda v: bytes(v) if isinstance(v, bytearray) else v
+    sample = sorted(plain(r[0]) for r in df.where(F.col(key).isNotNull() & (hashed < int((1 << 30) * min(1.0, wanted / total)))).select(key).distinct().limit(4 * wanted).collect())
     return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
 

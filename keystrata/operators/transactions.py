@@ -28,12 +28,12 @@ class Session:
         return self.trx
 
     def put(self, rows: DataFrame) -> None:
-        self._need()
+        self.need()
         self.staged.append(rows.withColumn("trx", F.lit(self.trx).cast("long")))
 
     def commit(self) -> DataFrame | None:
         """The rows to append once the outermost bracket commits, else None."""
-        self._need()
+        self.need()
         self.depth -= 1
         if self.depth or not self.staged:
             return None
@@ -45,7 +45,7 @@ class Session:
 
     def rollback(self) -> None:
         """Ends all brackets and drops what is staged."""
-        self._need()
+        self.need()
         self.depth, self.staged = 0, []
 
     quit = rollback
@@ -53,7 +53,7 @@ class Session:
     def current(self) -> int:
         return self.trx if self.depth else 0
 
-    def _need(self) -> None:
+    def need(self) -> None:
         if not self.depth:
             raise StoreError("FAILURE_NO_TRANS")
 

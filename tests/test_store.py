@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrata.errors import StoreError
-from keystrata.operators import points, snapshots, versions
+from keystrata.operators import points, ranges, snapshots, versions
 from keystrata.sources.containers import Properties, Store
 from keystrata.streaming import streams
 
@@ -107,3 +107,174 @@ def test_special_containers_puts_and_commands(spark, tmp_path):
     plain = store.open("plain", create=True, schema=log_schema(spark))
     assert store.put(plain, batch, "insert") == 2
     assert store.put(plain, batch, "insert") == 0 and store.put(plain, batch, "update") == 4
+
+
+def raises(status, call, *args, **more):
+    with pytest.raises(StoreError) as e:
+        call(*args, **more)
+    assert e.value.status == status
+
+
+def puts(spark, *rows):
+    return spark.createDataFrame([(k, d, i) for i, (k, d) in enumerate(rows)], "key string, data string, ord long")
+
+
+def keys(spark, *names):
+    return spark.createDataFrame([(k,) for k in names], "key string")
+
+
+def test_snapshots_survive_a_reload(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    c = store.open("s", create=True, schema=log_schema(spark))
+    store.put(c, puts(spark, ("a", "1"), ("b", "2")))
+    first = store.create_snapshot(c, 5)
+    store.put(c, puts(spark, ("a", "3")))
+    store.remove(c, keys(spark, "b", "nothing"))
+    again = Store.load(spark, str(tmp_path))
+    c = again.props(c.cguid)
+    assert again.snapshots(c) == [(first, 5)]
+    again.scavenge(c)
+    c = again.props(c.cguid)
+    seen = lambda up_to: sorted((r["key"], r["data"]) for r in again.view(c, up_to=up_to).collect())
+    assert seen(first) == [("a", "1"), ("b", "2")] and seen(None) == [("a", "3")]
+    # once the snapshot is given up, what only it needed goes
+    c = again.scavenge(c, first)
+    assert seen(None) == [("a", "3")] and again.log(c).count() < 4
+    assert [x.generation for x in again.scavenge_all()] == [c.generation + 1]
+
+
+def test_an_open_reader_outlives_a_compaction_until_the_vacuum(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    c = store.open("r", create=True, schema=log_schema(spark))
+    store.put(c, puts(spark, *((f"k{i}", "x") for i in range(10)), ("k0", "y")))
+    reader, cursor = store.view(c), store.cursor(c, ranges.Range("k2", "ge"))
+    assert [r["key"] for r in cursor.next(3)[0]] == ["k2", "k3", "k4"]
+    new = store.scavenge(c)
+    assert reader.count() == 10 and store.log(new).count() == 10
+    assert cursor.next(3) == ([], "STATE_CHANGED")
+    fresh = store.cursor(new)
+    assert len(fresh.next(50)[0]) == 10 and fresh.next(50) == ([], "QUERY_DONE")
+    store.close(new)
+    store.delete(store.props(c.cguid))
+    other = store.open("kept", create=True, schema=log_schema(spark))
+    store.put(other, puts(spark, ("a", "1")))
+    store.compact(other, store.log(other))
+    assert store.vacuum() == 2 and not (tmp_path / str(c.cguid)).exists()
+    assert store.view(store.props(other.cguid)).count() == 1
+
+
+def test_two_writers_exclude_each_other(spark, tmp_path):
+    one = Store(spark, str(tmp_path))
+    c = one.open("w", create=True, schema=log_schema(spark))
+    two = Store.load(spark, str(tmp_path))
+    one.put(c, puts(spark, ("a", "1")))
+    # the second numbers after what it read before
+    two.last_number = lambda c, column="seqno": 0
+    raises("STATE_CHANGED", two.put, c, puts(spark, ("a", "2")))
+    one.create_snapshot(c, 1)
+    raises("STATE_CHANGED", two.create_snapshot, c, 2)
+    assert one.check(c).count() == 0 and [r["data"] for r in one.view(c).collect()] == ["1"]
+    (tmp_path / "1" / f"g{c.generation}" / "batch-2" / "_temporary").mkdir(parents=True)  # as a crash leaves it
+    raises("STATE_CHANGED", one.put, c, puts(spark, ("b", "2")))
+    assert one.recover() == 1 and one.put(c, puts(spark, ("b", "2"))) == 1
+
+
+def test_windows_of_zero_and_read_only_containers(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    c = store.open("z", create=True, schema=log_schema(spark))
+    store.put(c, puts(spark, ("a", "1"), ("b", "2")))
+    assert store.scan(c, ranges.Range(up_to=0)).count() == 0 and store.scan(c, ranges.Range(up_to=1)).count() == 1
+    raises("FAILURE_OPERATION_DISALLOWED", store.put, c, puts(spark, ("a", "1")), "trim")
+    store.open("z", read_only=True)
+    for call in (lambda: store.put(c, puts(spark, ("a", "1"))), lambda: store.update_range(c, F.lit(True), F.col("data")), lambda: store.remove(c, keys(spark, "a")), lambda: store.scavenge(c)):
+        raises("FAILURE_OPERATION_DISALLOWED", call)
+    store.open("z")
+    assert store.put(c, puts(spark, ("c", "3"))) == 1
+
+
+def test_deletes_expiry_and_range_updates_are_stored(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    schema = spark.createDataFrame([], SCHEMA + ", create_time long, expiry_time long").schema
+    c = store.open("e", create=True, schema=schema)
+    store.put(c, puts(spark, ("a.1", "x"), ("a.2", "x"), ("b.1", "x")), now=100, expires=200)
+    store.put(c, puts(spark, ("c.1", "x")), now=150, expires=0)
+    store.put(c, puts(spark, ("d.1", "x")).withColumn("expiry_time", F.lit(120)), now=90, expires=999)
+    live = lambda **w: sorted(r["key"] for r in store.view(c, **w).collect())
+    assert live() == ["a.1", "a.2", "b.1", "c.1", "d.1"] and live(now=120) == ["a.1", "a.2", "b.1", "c.1"] and live(now=200) == ["c.1"]
+    raises("EXPIRED", store.get, c, "d.1", 120)
+    assert store.get(c, "c.1", 10**9)["data"] == "x"
+    assert store.sweep(c, 120) == 0 and store.sweep(c, 121) == 1 and live() == ["a.1", "a.2", "b.1", "c.1"]
+    n, big = store.update_range(c, F.col("key").startswith("a."), F.concat("data", "key"), F.col("key") != "a.9", limit=4)
+    assert n == 2 or big.count() == 0
+    assert [r["data"] for r in store.scan(c).collect()] == ["xa.1", "xa.2", "x", "x"]
+    n, big = store.update_range(c, F.col("key").startswith("a."), F.when(F.col("key") == "a.1", "long data").otherwise("y"), limit=4)
+    assert n == 1 and [r["key"] for r in big.collect()] == ["a.1"]
+    store.remove_one(c, "b.1")
+    raises("OBJECT_UNKNOWN", store.remove_one, c, "b.1")
+    prefixes = spark.createDataFrame([("a", 100), ("c", 149)], "prefix string, start_time long")
+    assert store.remove_by_prefix(c, prefixes, ".") == 2 and live() == ["c.1"]
+    assert store.check(c).count() == 0
+    assert store.remove(c, keys(spark, "c.1"), force=True) == 1
+    assert store.log(store.props(c.cguid)).where("key = 'c.1'").count() == 0
+
+
+def test_log_containers_are_written(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    c = store.open("log", create=True, kind="LOG")
+    rows = [(f"{n:02d}_{pg}", f"d{n}{pg}") for pg in "xy" for n in range(1, 6)]
+    assert store.append_records(c, puts(spark, *rows)) == 10
+    assert store.append_records(c, puts(spark, ("3_x", None)), "DELETE") == 1 and store.append_records(c, puts(spark, ("2_y", None)), "TRIM") == 1
+    raises("BAD_KEY", store.append_records, c, puts(spark, ("7_x", "good"), ("nokey", "bad")))
+    got = lambda pg=None: [(r["pg"], r["counter"]) for r in store.enumerate(c, pg).collect()]
+    assert got() == [("x", 1), ("x", 2), ("x", 4), ("x", 5), ("y", 3), ("y", 4), ("y", 5)] and got("y") == [("y", 3), ("y", 4), ("y", 5)]
+    assert store.record(c, 4, "x")["data"] == "d4x"
+    raises("OBJECT_UNKNOWN", store.record, c, 1, "y")
+    mixed = puts(spark, ("9_x", "n"), ("4_x", None)).withColumn("kind", F.when(F.col("key") == "9_x", "WRITE").otherwise("TRIM"))
+    assert store.append_records(c, mixed, None) == 2 and got("x") == [("x", 5), ("x", 9)]
+    before = got()
+    c = store.reclaim(c)
+    assert got() == before and store.records(c).count() == 2 + 3 + 2 and store.check(c).count() == 0
+    for call in (lambda: store.view(c), lambda: store.put(c, puts(spark, ("a", "b"))), lambda: store.scavenge(c), lambda: store.remove(c, keys(spark, "1_x"))):
+        with pytest.raises(StoreError):
+            call()
+
+
+def test_transactions_write_once_the_outermost_commits(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    a, b = (store.open(n, create=True, schema=log_schema(spark)) for n in "ab")
+    store.put(b, puts(spark, ("old", "1")))
+    t = store.transaction()
+    raises("FAILURE_NO_TRANS", t.commit)
+    raises("FAILURE_NO_TRANS", t.put, a, puts(spark, ("k", "1")))
+    t.start()
+    raises("TRANS_LEVEL_EXCEEDED", t.start, False)
+    t.start()
+    t.put(a, puts(spark, ("k", "1"), ("l", "1")))
+    t.put(b, puts(spark, ("k", "2")))
+    assert t.commit() == 0 and store.view(a).count() == 0
+    t.put(a, puts(spark, ("k", "3")))
+    t.remove(b, keys(spark, "old", "k", "none"))
+    assert t.commit() == 6 and t.current() == 0
+    assert sorted((r["key"], r["data"], r["seqno"]) for r in store.view(a).collect()) == [("k", "3", 3), ("l", "1", 2)]
+    assert store.view(b).count() == 0
+    t.start()
+    t.put(a, puts(spark, ("m", "9")))
+    t.rollback()
+    assert store.view(a).count() == 2
+
+
+def test_administration(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    c = store.open("adm", create=True, schema=log_schema(spark))
+    store.put(c, puts(spark, ("a", "1"), ("a", "2")))
+    assert store.command("autodump on") is True
+    dumped = spark.read.json(store.command("scavenge all"))
+    assert {(r["container"], r["num_objs"]) for r in dumped.collect()} == {("adm", 1), (None, 1)}
+    assert spark.read.json(store.command("stats_dump 7")).count() == 2
+    store.command("log_level error")
+    c = store.props(c.cguid)
+    store.append(c, spark.createDataFrame([(None, "x", 9, False), ("a", "2", 2, False), ("b", "1", 0, False)], SCHEMA))
+    found = {r["error"] for r in store.command("container check adm").collect()}
+    assert found == {"NULL_KEY", "DUPLICATE_SEQNO", "BAD_SEQNO"}
+    store.snaps[c.cguid] = [(99, 1)]
+    assert "SNAPSHOT_AHEAD" in {r["error"] for r in store.check(c).collect()}
