@@ -41,12 +41,13 @@ def with_range(df: DataFrame, key: str, bounds: list, out: str = "_range") -> Da
     return df.withColumn(out, at)
 
 
-def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column], ranges: int | None = None, bounds: list | None = None) -> DataFrame:
     """df with, per name, the sum of its expression over all rows up to this one in the total order.
 
     order must be total; its first column cuts the ranges, so it should not be one value throughout.
+    bounds are those of range_bounds, if the caller has them.
     """
-    cut = with_range(df, order[0], range_bounds(df, order[0], ranges))
+    cut = with_range(df, order[0], range_bounds(df, order[0], ranges) if bounds is None else bounds)
     own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(F.col("_range").alias("_of")).agg(*(F.sum(e).alias(f"_t{i}") for i, e in enumerate(sums.values())))

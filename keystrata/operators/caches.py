@@ -18,9 +18,12 @@ def map_update(current: DataFrame, new: DataFrame, key: str = "key") -> DataFram
     return new.join(current.select(key), key, "left_semi").select(*new.columns)
 
 
-def map_set(current: DataFrame, new: DataFrame, key: str = "key", data: str = "data") -> DataFrame:
-    """The map after new entries are set: key, data, and old_data that was replaced (null if none)."""
-    n = new.select(F.col(key), F.col(data).alias("_new"), F.lit(True).alias("_set"))
+def map_set(current: DataFrame, new: DataFrame, key: str = "key", data: str = "data", order: str | None = None) -> DataFrame:
+    """The map after new entries are set: key, data, and old_data that was replaced (null if none).
+
+    Of several new entries of a key the last one by `order` counts; without an order the largest data.
+    """
+    n = new.groupBy(key).agg((F.max_by(data, order) if order else F.max(data)).alias("_new"), F.lit(True).alias("_set"))
     both = current.select(F.col(key), F.col(data).alias("_old")).join(n, key, "full")
     return both.select(key, F.when(F.col("_set"), F.col("_new")).otherwise(F.col("_old")).alias(data), F.when(F.col("_set"), F.col("_old")).alias("old_data"))
 

@@ -119,4 +119,4 @@ def pause_groups(live: DataFrame, key: str, group: Column, out: str = "page_id",
     previous = F.coalesce(F.lag(F.struct("_class")).over(own), F.when(F.col("_some"), F.struct(F.col("_carried").alias("_class"))))
     turn = F.when(previous.isNull() | ~previous["_class"].eqNullSafe(F.col("_class")), 1).otherwise(0).cast("long")
     flagged = rows.select(*(F.col(f"`{c}`") for c in live.columns), turn.alias("_turn"))
-    return running_sums(flagged, [key], {out: F.col("_turn")}, ranges).drop("_turn")
+    return running_sums(flagged, [key], {out: F.col("_turn")}, bounds=bounds).drop("_turn")

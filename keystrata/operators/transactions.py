@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StoreError
+from ..sources.shared import shared_dir
 from .versions import newest
 
 
@@ -110,17 +112,19 @@ def order_edges(touches: DataFrame, bad: DataFrame) -> DataFrame:
     return after.union(before).distinct().withColumn("relation", F.lit("before"))
 
 
-def commit_order(trx: DataFrame, edges: DataFrame, bad: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
+def commit_order(trx: DataFrame, edges: DataFrame, bad: DataFrame | None = None) -> DataFrame:
     """(trx, level): level 0 commits first; -1 for those in a cycle or an overlap, which roll back.
 
-    Each round takes the transactions without one before them; the number of rounds is the longest chain.
+    Each round takes the transactions without one before them; there are as many rounds as the longest
+    chain has transactions, each written to the shared folder.
     """
+    shared_dir(trx.sparkSession)  # makes checkpoints possible
     overlap = edges.where("relation = 'overlap'").select(F.explode(F.array("first", "second")).alias("trx"))
     bad = (overlap if bad is None else overlap.union(bad)).distinct()
     left = trx.select("trx").distinct().join(bad, "trx", "left_anti").checkpoint()
     order = edges.where("relation = 'before'").select("first", "second")
     done: DataFrame | None = None
-    for level in range(rounds):
+    for level in count():
         live = order.join(left.withColumnRenamed("trx", "first"), "first", "left_semi").join(left.withColumnRenamed("trx", "second"), "second", "left_semi")
         free = left.join(live.select(F.col("second").alias("trx")).distinct(), "trx", "left_anti").checkpoint()
         if free.isEmpty():

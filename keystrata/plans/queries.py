@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordered import row_numbers
-from ..functions.scalars import blocks_512, epoch_seconds, format_bytes, format_count, key_prefix, log2_bucket
+from ..functions.scalars import blocks_512, epoch_seconds, format_bytes, format_count, key_prefix, log2_bucket, shard_of
 from ..operators import backup, caches, expiry, heavy_hitters, integrity, log_containers, points, ranges, range_update, snapshots, statistics, transactions, versions
+from ..sources.containers import Store
+from ..sources.shared import shared_dir
 from ..sources.tables import access_log, expiring_log, log_records, table, version_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Sequence numbers of the snapshots that the queries use.
-SNAPS = [2000, 5000, 8000]
+#: Snapshots, ranges and capacities are at these tenths or hundredths of the table's largest key, so they grow with it.
+TENTHS = (2, 5, 8)
 NOW = 1_704_500_000
 
 VL = "SELECT user_id AS key, event_id AS seqno, event_type = 'error' AS tombstone, value AS data, CAST(floor(epoch(ts)) AS BIGINT) AS create_time FROM events"
@@ -34,6 +37,30 @@ def live_sql(where: str = "true", log: str = VL) -> str:
     return f"SELECT * FROM ({LIVE.format(log=log, where=where)}) WHERE NOT tombstone"
 
 
+def at_sql(table_name: str, column: str, percent: int) -> str:
+    """The key at so many hundredths of the largest one."""
+    return f"(SELECT max({column}) * {percent} // 100 FROM {table_name})"
+
+
+def at(spark: SparkSession, sf: str, table_name: str, column: str, percent: int) -> int:
+    """The same, in Spark; 0 for an empty table."""
+    return (table(spark, sf, table_name).agg(F.max(column)).first()[0] or 0) * percent // 100
+
+
+def snaps(spark: SparkSession, sf: str) -> list[int]:
+    """The numbers of the snapshots that the queries use."""
+    last = table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0
+    return [last * k // 10 for k in TENTHS]
+
+
+S2, S5, S8 = (at_sql("events", "event_id", 10 * k) for k in TENTHS)
+O10, O20, O25, O40, O50, O60 = (at_sql("orders", "o_orderkey", k) for k in (10, 20, 25, 40, 50, 60))
+
+
+def order_at(spark: SparkSession, sf: str, percent: int) -> int:
+    return at(spark, sf, "orders", "o_orderkey", percent)
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -53,9 +80,9 @@ ORDERS = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders"
 # point reads
 
 
-@query(f"{ORDERS} WHERE o_orderkey = 1234")
+@query(f"{ORDERS} WHERE o_orderkey = {O50}")
 def point_get(spark: SparkSession, sf: str) -> DataFrame:
-    return points.get(_orders(spark, sf), 1234, "o_orderkey")
+    return points.get(_orders(spark, sf), order_at(spark, sf, 50), "o_orderkey")
 
 
 @query(f"{ORDERS} WHERE o_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 50)")
@@ -67,34 +94,34 @@ def multi_get(spark: SparkSession, sf: str) -> DataFrame:
 # range queries
 
 
-@query(f"{ORDERS} WHERE o_orderkey >= 1000 AND o_orderkey < 4000 ORDER BY o_orderkey")
+@query(f"{ORDERS} WHERE o_orderkey >= {O20} AND o_orderkey < {O40} ORDER BY o_orderkey")
 def range_ge_lt(spark: SparkSession, sf: str) -> DataFrame:
-    return ranges.scan(_orders(spark, sf), ranges.Range(1000, "ge", 4000, "lt"), "o_orderkey")
+    return ranges.scan(_orders(spark, sf), ranges.Range(order_at(spark, sf, 20), "ge", order_at(spark, sf, 40), "lt"), "o_orderkey")
 
 
-@query(f"{ORDERS} WHERE o_orderkey > 1000 AND o_orderkey <= 4000 ORDER BY o_orderkey")
+@query(f"{ORDERS} WHERE o_orderkey > {O20} AND o_orderkey <= {O40} ORDER BY o_orderkey")
 def range_gt_le(spark: SparkSession, sf: str) -> DataFrame:
-    return ranges.scan(_orders(spark, sf), ranges.Range(1000, "gt", 4000, "le"), "o_orderkey")
+    return ranges.scan(_orders(spark, sf), ranges.Range(order_at(spark, sf, 20), "gt", order_at(spark, sf, 40), "le"), "o_orderkey")
 
 
-@query(f"{ORDERS} WHERE o_orderkey < 5000 AND o_orderkey >= 2000 ORDER BY o_orderkey DESC")
+@query(f"{ORDERS} WHERE o_orderkey < {O40} AND o_orderkey >= {O25} ORDER BY o_orderkey DESC")
 def range_desc(spark: SparkSession, sf: str) -> DataFrame:
-    return ranges.scan(_orders(spark, sf), ranges.Range(5000, "lt", 2000, "ge"), "o_orderkey")
+    return ranges.scan(_orders(spark, sf), ranges.Range(order_at(spark, sf, 40), "lt", order_at(spark, sf, 25), "ge"), "o_orderkey")
 
 
-@query(f"{ORDERS} WHERE o_orderkey <= 5000 AND o_orderkey > 100 ORDER BY o_orderkey DESC LIMIT 500")
+@query(f"{ORDERS} WHERE o_orderkey <= {O50} AND o_orderkey > {O10} ORDER BY o_orderkey DESC LIMIT 500")
 def range_desc_page(spark: SparkSession, sf: str) -> DataFrame:
-    return ranges.page(_orders(spark, sf), ranges.Range(5000, "le", 100, "gt"), 500, key="o_orderkey")
+    return ranges.page(_orders(spark, sf), ranges.Range(order_at(spark, sf, 50), "le", order_at(spark, sf, 10), "gt"), 500, key="o_orderkey")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey >= 10 AND o_orderkey <= 9000")
+@query(f"SELECT o_orderkey FROM orders WHERE o_orderkey >= {O10} AND o_orderkey <= {O60}")
 def range_keys_only(spark: SparkSession, sf: str) -> DataFrame:
-    return ranges.scan(_orders(spark, sf), ranges.Range(10, "ge", 9000, "le", keys_only=True), "o_orderkey")
+    return ranges.scan(_orders(spark, sf), ranges.Range(order_at(spark, sf, 10), "ge", order_at(spark, sf, 60), "le", keys_only=True), "o_orderkey")
 
 
-@query(f"{ORDERS} WHERE o_orderkey > 2500 ORDER BY o_orderkey LIMIT 300")
+@query(f"{ORDERS} WHERE o_orderkey > {O25} ORDER BY o_orderkey LIMIT 300")
 def range_page_resume(spark: SparkSession, sf: str) -> DataFrame:
-    return ranges.page(_orders(spark, sf), ranges.Range(1000, "ge"), 300, last=2500, key="o_orderkey")
+    return ranges.page(_orders(spark, sf), ranges.Range(order_at(spark, sf, 10), "ge"), 300, last=order_at(spark, sf, 25), key="o_orderkey")
 
 
 @query(f"{ORDERS} ORDER BY o_orderkey")
@@ -122,36 +149,36 @@ def live_latest(spark: SparkSession, sf: str) -> DataFrame:
     return versions.live(version_log(spark, sf))
 
 
-@query(live_sql("seqno <= 5000"))
+@query(live_sql(f"seqno <= {S5}"))
 def snapshot_read(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live(version_log(spark, sf), up_to=5000)
+    return versions.live(version_log(spark, sf), up_to=snaps(spark, sf)[1])
 
 
-@query(live_sql("seqno > 2000 AND seqno <= 5000"))
+@query(live_sql(f"seqno > {S2} AND seqno <= {S5}"))
 def incremental_read(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live(version_log(spark, sf), after=2000, up_to=5000)
+    return versions.live(version_log(spark, sf), after=snaps(spark, sf)[0], up_to=snaps(spark, sf)[1])
 
 
-@query(f"SELECT * FROM ({live_sql('seqno <= 5000')}) WHERE key >= 20 AND key < 90 ORDER BY key")
+@query(f"SELECT * FROM ({live_sql(f'seqno <= {S5}')}) WHERE key >= {at_sql('events', 'user_id', 15)} AND key < {at_sql('events', 'user_id', 60)} ORDER BY key")
 def snapshot_range(spark: SparkSession, sf: str) -> DataFrame:
-    return ranges.scan(versions.live(version_log(spark, sf), up_to=5000), ranges.Range(20, "ge", 90, "lt"))
+    return ranges.scan(versions.live(version_log(spark, sf), up_to=snaps(spark, sf)[1]), ranges.Range(at(spark, sf, "events", "user_id", 15), "ge", at(spark, sf, "events", "user_id", 60), "lt"))
 
 
-@query(f"SELECT * FROM ({VL}) WHERE seqno = 4321")
+@query(f"SELECT * FROM ({VL}) WHERE seqno = {at_sql('events', 'event_id', 43)}")
 def exact_seqno_read(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.exact(version_log(spark, sf), 4321)
+    return versions.exact(version_log(spark, sf), at(spark, sf, "events", "event_id", 43))
 
 
-@query(f"SELECT count(*) AS n_keys FROM ({live_sql('seqno > 5000 AND seqno <= 8000')})")
+@query(f"SELECT count(*) AS n_keys FROM ({live_sql(f'seqno > {S5} AND seqno <= {S8}')})")
 def backup_simulation(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.count_increment(version_log(spark, sf), 5000, 8000)
+    return versions.count_increment(version_log(spark, sf), *snaps(spark, sf)[1:])
 
 
 # writes; the batch: keys of all customers modulo 400, in order of customer
 
 
 def _live(spark: SparkSession, sf: str) -> DataFrame:
-    return versions.live(version_log(spark, sf), up_to=5000).select("key", "data", "seqno")
+    return versions.live(version_log(spark, sf), up_to=snaps(spark, sf)[1]).select("key", "data", "seqno")
 
 
 def _batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,10 +187,10 @@ def _batch(spark: SparkSession, sf: str) -> DataFrame:
 
 def _touched(spark: SparkSession, sf: str) -> DataFrame:
     """The live objects of the batch's keys."""
-    return points.live_of(version_log(spark, sf), _batch(spark, sf), up_to=5000).select("key", "data", "seqno")
+    return points.live_of(version_log(spark, sf), _batch(spark, sf), up_to=snaps(spark, sf)[1]).select("key", "data", "seqno")
 
 
-L5 = f"SELECT key, data, seqno FROM ({live_sql('seqno <= 5000')})"
+L5 = f"SELECT key, data, seqno FROM ({live_sql(f'seqno <= {S5}')})"
 BATCH = "SELECT c_custkey * 7 % 400 AS key, c_acctbal AS data, c_custkey AS ord FROM customer"
 
 
@@ -179,7 +206,7 @@ def update_if_present(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT key, CAST(NULL AS DOUBLE) AS data, CAST(NULL AS BIGINT) AS seqno, true AS tombstone, CAST(NULL AS BIGINT) AS create_time FROM ({BATCH}) WHERE key IN (SELECT key FROM ({L5}))")
 def delete_present(spark: SparkSession, sf: str) -> DataFrame:
-    return points.delete(versions.live(version_log(spark, sf), up_to=5000), _batch(spark, sf))
+    return points.delete(versions.live(version_log(spark, sf), up_to=snaps(spark, sf)[1]), _batch(spark, sf))
 
 
 @query(f"SELECT * FROM ({VL}) WHERE key NOT IN (SELECT key FROM ({BATCH}) WHERE key % 2 = 0)")
@@ -192,14 +219,30 @@ def mput_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return points.upsert(_live(spark, sf).select("key", "data"), _batch(spark, sf))
 
 
-@query(f"WITH b AS ({BATCH}), l AS ({L5}), v AS (SELECT min(ord) AS stop FROM (SELECT ord FROM b WHERE key IN (SELECT key FROM l) UNION ALL SELECT ord FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) > 1)) SELECT b.* FROM b, v WHERE stop IS NULL OR ord < stop")
+# batches of falling keys: for inserts they begin over the largest key there is, for updates with it
+FALLING = "SELECT (SELECT max(user_id) FROM events) + {over} - c_custkey AS key, c_acctbal AS data, c_custkey AS ord FROM customer"
+INSERTS, UPDATES = FALLING.format(over="1 + (SELECT max(c_custkey) // 2 FROM customer)"), FALLING.format(over=0)
+
+
+def _falling(spark: SparkSession, sf: str, over: int) -> DataFrame:
+    top = at(spark, sf, "events", "user_id", 100) + over
+    return table(spark, sf, "customer").select((F.lit(top).cast("long") - F.col("c_custkey")).alias("key"), F.col("c_acctbal").alias("data"), F.col("c_custkey").alias("ord"))
+
+
+def _live_for(spark: SparkSession, sf: str, batch: DataFrame) -> DataFrame:
+    return points.live_of(version_log(spark, sf), batch, up_to=snaps(spark, sf)[1]).select("key", "data", "seqno")
+
+
+@query(f"WITH b AS ({INSERTS}), l AS ({L5}), v AS (SELECT min(ord) AS stop FROM (SELECT ord FROM b WHERE key IN (SELECT key FROM l) UNION ALL SELECT ord FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) > 1)) SELECT b.* FROM b, v WHERE stop IS NULL OR ord < stop")
 def mput_insert(spark: SparkSession, sf: str) -> DataFrame:
-    return points.multi_put(_touched(spark, sf), _batch(spark, sf), "insert")
+    batch = _falling(spark, sf, 1 + at(spark, sf, "customer", "c_custkey", 100) // 2)
+    return points.multi_put(_live_for(spark, sf, batch), batch, "insert")
 
 
-@query(f"WITH b AS (SELECT * FROM ({BATCH}) WHERE key < 30), l AS ({L5}), v AS (SELECT min(ord) AS stop FROM b WHERE key NOT IN (SELECT key FROM l)) SELECT b.* FROM b, v WHERE stop IS NULL OR ord < stop")
+@query(f"WITH b AS ({UPDATES}), l AS ({L5}), v AS (SELECT min(ord) AS stop FROM b WHERE key NOT IN (SELECT key FROM l)) SELECT b.* FROM b, v WHERE stop IS NULL OR ord < stop")
 def mput_update(spark: SparkSession, sf: str) -> DataFrame:
-    return points.multi_put(_touched(spark, sf), _batch(spark, sf), "update")
+    batch = _falling(spark, sf, 0)
+    return points.multi_put(_live_for(spark, sf, batch), batch, "update")
 
 
 @query(f"WITH b AS (SELECT key, max(data) AS data FROM ({BATCH}) GROUP BY key) SELECT b.key, b.data, (SELECT min(ord) FROM ({BATCH}) x WHERE x.key = b.key AND x.data = b.data) AS ord FROM b LEFT JOIN ({L5}) l ON l.key = b.key WHERE l.key IS NULL OR b.data > l.data")
@@ -228,21 +271,21 @@ def merge_objects(spark: SparkSession, sf: str) -> DataFrame:
 # snapshots
 
 
-@query(f"SELECT seqno, CAST(CASE {' '.join(f'WHEN seqno <= {s} THEN {s}' for s in SNAPS)} ELSE -1 END AS BIGINT) AS owner FROM ({VL})")
+@query(f"SELECT seqno, CAST(CASE {' '.join(f'WHEN seqno <= {s} THEN {s}' for s in (S2, S5, S8))} ELSE -1 END AS BIGINT) AS owner FROM ({VL})")
 def owner_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return version_log(spark, sf).select("seqno", snapshots.owner(F.col("seqno"), SNAPS).alias("owner"))
+    return version_log(spark, sf).select("seqno", snapshots.owner(F.col("seqno"), snaps(spark, sf)).alias("owner"))
 
 
-@query(f"""WITH o AS (SELECT *, CASE {' '.join(f'WHEN seqno <= {s} THEN {s}' for s in SNAPS)} ELSE -1 END AS owner FROM ({VL})),
+@query(f"""WITH o AS (SELECT *, CASE {' '.join(f'WHEN seqno <= {s} THEN {s}' for s in (S2, S5, S8))} ELSE -1 END AS owner FROM ({VL})),
 k AS (SELECT *, count(*) OVER (PARTITION BY key) AS versions FROM o QUALIFY row_number() OVER (PARTITION BY key, owner ORDER BY seqno DESC) = 1)
 SELECT key, seqno, tombstone, data, create_time FROM (SELECT *, count(*) OVER (PARTITION BY key) AS kept FROM k) WHERE NOT (tombstone AND versions > 1 AND kept = 1)""")
 def scavenge(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.scavenge(version_log(spark, sf), SNAPS)
+    return snapshots.scavenge(version_log(spark, sf), snaps(spark, sf))
 
 
-@query(f"SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({live_sql('seqno <= 2000')}) a FULL JOIN ({live_sql('seqno <= 8000')}) b ON a.key = b.key WHERE a.seqno IS DISTINCT FROM b.seqno")
+@query(f"SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({live_sql(f'seqno <= {S2}')}) a FULL JOIN ({live_sql(f'seqno <= {S8}')}) b ON a.key = b.key WHERE a.seqno IS DISTINCT FROM b.seqno")
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.diff(version_log(spark, sf), 2000, 8000)
+    return snapshots.diff(version_log(spark, sf), *snaps(spark, sf)[::2])
 
 
 @query(f"SELECT snap_seq, ts FROM (VALUES (2000::BIGINT, 1::BIGINT), (8000, 3)) t(snap_seq, ts) UNION ALL SELECT max(seqno), 4 FROM ({VL})")
@@ -261,10 +304,10 @@ def range_update_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("p_partkey", "p_name", "p_brand", "changed", "status")
 
 
-@query("SELECT o_orderkey, CASE WHEN length(o_orderpriority || '-x') > 7 THEN o_orderpriority ELSE o_orderpriority || '-x' END AS o_orderpriority, length(o_orderpriority || '-x') <= 7 AS changed, CASE WHEN length(o_orderpriority || '-x') > 7 THEN 'OBJECT_TOO_BIG' ELSE 'SUCCESS' END AS status FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 2100")
+@query("SELECT o_orderkey, CASE WHEN length(o_orderpriority || '-x') > 7 THEN o_orderpriority ELSE o_orderpriority || '-x' END AS o_orderpriority, length(o_orderpriority || '-x') <= 7 AS changed, CASE WHEN length(o_orderpriority || '-x') > 7 THEN 'OBJECT_TOO_BIG' ELSE 'SUCCESS' END AS status FROM orders WHERE o_orderkey >= " + O10 + " AND o_orderkey < " + O40)
 def range_update_oversize(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    return range_update.range_update(orders, (F.col("o_orderkey") >= 100) & (F.col("o_orderkey") < 2100), F.concat("o_orderpriority", F.lit("-x")), data="o_orderpriority", limit=7)
+    return range_update.range_update(orders, (F.col("o_orderkey") >= order_at(spark, sf, 10)) & (F.col("o_orderkey") < order_at(spark, sf, 40)), F.concat("o_orderpriority", F.lit("-x")), data="o_orderpriority", limit=7)
 
 
 # log containers
@@ -437,6 +480,13 @@ def hot_history(spark: SparkSession, sf: str) -> DataFrame:
     return heavy_hitters.history(hours, NOW, 7 * 86400, 10, where=F.col("op") == "UPDATE")
 
 
+@query("SELECT CASE WHEN event_id % 14 IN (1, 2) THEN 'GET' WHEN event_id % 14 BETWEEN 3 AND 11 THEN 'UPDATE' END AS class, count(*) AS n FROM events GROUP BY 1")
+def command_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as commands of numbers 0 to 13, by the class they count for; null for the other commands."""
+    e = table(spark, sf, "events")
+    return e.select(heavy_hitters.classify(F.col("event_id") % 14).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def hot_keys_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return heavy_hitters.approximate(access_log(spark, sf), 16)
@@ -445,15 +495,16 @@ def hot_keys_sketch(spark: SparkSession, sf: str) -> DataFrame:
 # backup
 
 
-@query(f"SELECT *, CASE WHEN tombstone THEN 'D' ELSE 'U' END AS op FROM ({LIVE.format(log=VL, where='seqno > 2000 AND seqno <= 8000')})")
+@query(f"SELECT *, CASE WHEN tombstone THEN 'D' ELSE 'U' END AS op FROM ({LIVE.format(log=VL, where=f'seqno > {S2} AND seqno <= {S8}')})")
 def change_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return backup.change_feed(version_log(spark, sf), 2000, 8000)
+    return backup.change_feed(version_log(spark, sf), *snaps(spark, sf)[::2])
 
 
-@query(live_sql("seqno <= 8000"))
+@query(live_sql(f"seqno <= {S8}"))
 def restore_full_inc(spark: SparkSession, sf: str) -> DataFrame:
     log = version_log(spark, sf)
-    return backup.restore([backup.change_feed(log, None, 2000), backup.change_feed(log, 2000, 5000), backup.change_feed(log, 5000, 8000)])
+    first, second, third = snaps(spark, sf)
+    return backup.restore([backup.change_feed(log, None, first), backup.change_feed(log, first, second), backup.change_feed(log, second, third)])
 
 
 SIZE = "CAST(floor(data * 20) AS BIGINT)"
@@ -498,7 +549,7 @@ def backup_split(spark: SparkSession, sf: str) -> DataFrame:
     return one.withColumn("output", F.lit(1)).unionByName(two.withColumn("output", F.lit(2)))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice > 1e9 THEN printf('%.2fbi', o_totalprice / 1e9) WHEN o_totalprice > 1e6 THEN printf('%.2fmi', o_totalprice / 1e6) WHEN o_totalprice > 1e3 THEN printf('%.2fki', o_totalprice / 1e3) ELSE printf('%.2f', o_totalprice) END AS count, CASE WHEN o_orderkey * 4096 > 1024 * 1024 THEN printf('%.2fm', o_orderkey * 4096 / 1048576.0) WHEN o_orderkey * 4096 > 1024 THEN printf('%.2fk', o_orderkey * 4096 / 1024.0) ELSE printf('%.2f', o_orderkey * 4096.0) END AS bytes FROM orders WHERE o_orderkey < 200000")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 1e9 THEN printf('%.2fbi', o_totalprice / 1e9) WHEN o_totalprice > 1e6 THEN printf('%.2fmi', o_totalprice / 1e6) WHEN o_totalprice > 1e3 THEN printf('%.2fki', o_totalprice / 1e3) ELSE printf('%.2f', o_totalprice) END AS count, CASE WHEN o_orderkey * 4096 > 1073741824 THEN printf('%.2fb', o_orderkey * 4096 / 1073741824.0) WHEN o_orderkey * 4096 > 1024 * 1024 THEN printf('%.2fm', o_orderkey * 4096 / 1048576.0) WHEN o_orderkey * 4096 > 1024 THEN printf('%.2fk', o_orderkey * 4096 / 1024.0) ELSE printf('%.2f', o_orderkey * 4096.0) END AS bytes FROM orders")
 def size_formats(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     return o.select("o_orderkey", format_count(F.col("o_totalprice")).alias("count"), format_bytes(F.col("o_orderkey") * 4096).alias("bytes"))
@@ -507,14 +558,17 @@ def size_formats(spark: SparkSession, sf: str) -> DataFrame:
 # maps, caches, retention
 
 
-@query("SELECT user_id AS key, max(event_id) AS last_use FROM events GROUP BY 1 ORDER BY last_use DESC LIMIT 40")
+THIRD = at_sql("events", "user_id", 33)
+
+
+@query(f"SELECT * FROM (SELECT user_id AS key, max(event_id) AS last_use FROM events GROUP BY 1) QUALIFY row_number() OVER (ORDER BY last_use DESC, key) <= {THIRD}")
 def lru_resident(spark: SparkSession, sf: str) -> DataFrame:
-    return caches.lru_resident(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord")), 40)
+    return caches.lru_resident(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord")), at(spark, sf, "events", "user_id", 33))
 
 
-@query("SELECT * FROM (SELECT user_id AS key, max(event_id) AS last_use FROM events GROUP BY 1) QUALIFY row_number() OVER (ORDER BY last_use DESC, key) > 40")
+@query(f"SELECT * FROM (SELECT user_id AS key, max(event_id) AS last_use FROM events GROUP BY 1) QUALIFY row_number() OVER (ORDER BY last_use DESC, key) > {THIRD}")
 def lru_evicted(spark: SparkSession, sf: str) -> DataFrame:
-    return caches.lru_evicted(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord")), 40)
+    return caches.lru_evicted(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord")), at(spark, sf, "events", "user_id", 33))
 
 
 @query("SELECT doc_id, used FROM (SELECT doc_id, CAST(sum(strlen(coalesce(text, ''))) OVER (ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) WHERE used <= 500000")
@@ -553,12 +607,12 @@ def map_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 # transactions
 
-TOUCHES = "SELECT o_custkey % 500 AS node, o_orderkey // 60 + o_orderkey % 2 AS trx, min(o_orderkey) AS lo, max(o_orderkey) AS hi, bool_or(o_orderstatus = 'O') AS write FROM orders WHERE o_orderkey < 3000 GROUP BY 1, 2"
+TOUCHES = "SELECT o_custkey AS node, o_orderkey // 60 + o_orderkey % 2 AS trx, min(o_orderkey) AS lo, max(o_orderkey) AS hi, bool_or(o_orderstatus = 'O') AS write FROM orders GROUP BY 1, 2"
 
 
 def _touches(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")  # all of them, where TOUCHES has the first 3,000
-    return o.groupBy((F.col("o_custkey") % 500).alias("node"), (F.floor(F.col("o_orderkey") / 60) + F.col("o_orderkey") % 2).alias("trx")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.bool_or(F.col("o_orderstatus") == "O").alias("write"))
+    o = table(spark, sf, "orders")
+    return o.groupBy(F.col("o_custkey").alias("node"), (F.floor(F.col("o_orderkey") / 60) + F.col("o_orderkey") % 2).alias("trx")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.bool_or(F.col("o_orderstatus") == "O").alias("write"))
 
 
 @query(f"WITH t AS ({TOUCHES}) SELECT DISTINCT CASE WHEN b.hi < a.lo THEN b.trx ELSE a.trx END AS first, CASE WHEN b.hi < a.lo THEN a.trx ELSE b.trx END AS second, CASE WHEN b.hi < a.lo OR b.lo > a.hi THEN 'before' ELSE 'overlap' END AS relation FROM t a JOIN t b ON a.node = b.node AND a.trx < b.trx AND (a.write OR b.write)")
@@ -582,6 +636,20 @@ def trx_order_edges(spark: SparkSession, sf: str) -> DataFrame:
     return transactions.order_edges(touches, transactions.uncommittable(touches))
 
 
+ORDER_TOUCHES = "SELECT o_custkey AS node, o_orderkey AS trx, o_orderkey AS lo, o_orderkey AS hi, o_orderstatus = 'O' AS write FROM orders"
+
+
+@query(f"""WITH RECURSIVE t AS ({ORDER_TOUCHES}), e AS (SELECT a.trx AS first, b.trx AS second FROM t a JOIN t b ON a.node = b.node AND a.trx < b.trx AND (a.write OR b.write)),
+l AS (SELECT trx, 0 AS level FROM t UNION SELECT e.second, l.level + 1 FROM l JOIN e ON e.first = l.trx)
+SELECT trx, CAST(max(level) AS INTEGER) AS level FROM l GROUP BY trx""")
+def trx_commit_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as transactions of one touch each, on their customers."""
+    o = table(spark, sf, "orders")
+    touches = o.select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("trx"), F.col("o_orderkey").alias("lo"), F.col("o_orderkey").alias("hi"), (F.col("o_orderstatus") == "O").alias("write"))
+    bad = transactions.uncommittable(touches)
+    return transactions.commit_order(touches, transactions.order_edges(touches, bad), bad)
+
+
 @query(f"SELECT key, lsn, data FROM (SELECT user_id AS key, event_id AS lsn, value AS data, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id // 50 END AS trx FROM events) WHERE trx IS NULL OR trx % 4 <> 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1")
 def redo_replay(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
@@ -589,9 +657,9 @@ def redo_replay(spark: SparkSession, sf: str) -> DataFrame:
     return transactions.replay(redo, redo.select("trx").distinct().where("trx % 4 <> 1")).drop("trx")
 
 
-@query(f"SELECT * FROM ({VL}) WHERE NOT (tombstone AND seqno <= 5000)")
+@query(f"SELECT * FROM ({VL}) WHERE NOT (tombstone AND seqno <= {S5})")
 def tombstone_retention(spark: SparkSession, sf: str) -> DataFrame:
-    return transactions.retained_tombstones(version_log(spark, sf), 5000)
+    return transactions.retained_tombstones(version_log(spark, sf), snaps(spark, sf)[1])
 
 
 # integrity
@@ -603,6 +671,14 @@ def check_order(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.check_order(rows, "l_orderkey", "place", "l_partkey").groupBy("entity", "id", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT 'node' AS entity, CAST(l_orderkey AS VARCHAR) AS id, 'KEY_BOUNDS' AS error, 'key ' || l_partkey AS msg FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey < o_custkey % 50 OR l_partkey >= o_custkey % 50 + 100")
+def check_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of a line item outside bounds that follow from its order's customer."""
+    low = F.col("o_custkey") % 50
+    bounds = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), low.alias("low"), (low + 100).alias("high"))
+    return integrity.check_bounds(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), bounds, "l_orderkey", "l_partkey")
+
+
 @query("SELECT 'version' AS entity, CAST(l_orderkey AS VARCHAR) AS id, 'DUPLICATE_SEQNO' AS error, 'seqno ' || l_linenumber || ' occurs ' || count(*) || ' times' AS msg FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def check_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.check_duplicates(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
@@ -620,16 +696,20 @@ def check_counts(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.check_count(lines, table(spark, sf, "orders").select("o_orderkey", F.lit(4).cast("long").alias("n")), "o_orderkey")
 
 
-@query()
+@query("SELECT 'object' AS entity, CAST(page_id AS VARCHAR) AS id, 'CHECKSUM' AS error, 'data changed' AS msg FROM pages WHERE page_id % 50 = 7 AND html IS NOT NULL")
 def check_crc(spark: SparkSession, sf: str) -> DataFrame:
     rows = integrity.with_crc(table(spark, sf, "pages").select("page_id", F.col("html").alias("data")))
     damaged = rows.withColumn("data", F.when(F.col("page_id") % 50 == 7, F.concat("data", F.lit("!"))).otherwise(F.col("data")))
     return integrity.check_crc(damaged, "page_id")
 
 
-@query("SELECT o_custkey % 16 AS shard, count(*) AS n, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY 1")
+@query("SELECT count(DISTINCT o_custkey) AS keys, count(*) AS n, CAST(0 AS BIGINT) AS split_keys, CAST(0 AS BIGINT) AS outside, true AS even FROM orders")
 def shard_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy((F.col("o_custkey") % 16).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("keys"))
+    """Placement by hash: no key in two shards, none outside, and no shard with over twice its share of keys."""
+    placed = table(spark, sf, "orders").groupBy("o_custkey", shard_of(F.col("o_custkey"), 16).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    keys = placed.groupBy("o_custkey").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("shards"), F.max("shard").alias("shard"))
+    shards = keys.groupBy("shard").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n"), F.count(F.when(F.col("shards") > 1, 1)).alias("split"), F.count(F.when(~F.col("shard").between(0, 15), 1)).alias("outside"))
+    return shards.agg(F.sum("keys").alias("keys"), F.sum("n").alias("n"), F.sum("split").alias("split_keys"), F.sum("outside").alias("outside"), (F.max("keys") * 16 <= 2.5 * F.sum("keys")).alias("even"))
 
 
 @query("SELECT doc_id, CAST(CASE WHEN strlen(text) <= 512 THEN 1 WHEN strlen(text) <= 1024 THEN 2 WHEN strlen(text) <= 2048 THEN 3 WHEN strlen(text) <= 4096 THEN 4 WHEN strlen(text) <= 8192 THEN 5 ELSE ceil(strlen(text) / 512.0) END AS BIGINT) AS blocks, CAST(CASE WHEN strlen(text) <= 1 THEN 0 ELSE length(bin(strlen(text) - 1)) END AS INTEGER) AS bucket FROM documents WHERE text IS NOT NULL")
@@ -643,6 +723,121 @@ def global_row_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return row_numbers(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
 
 
+# stored containers; each query makes a store of its own in the shared folder
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}")
+
+
+def _stored(store: Store, log: DataFrame, name: str = "c"):
+    """A container that holds a log."""
+    c = store.open(name, create=True, schema=log.schema)
+    store.append(c, log)
+    return c
+
+
+@query(live_sql(f"seqno <= {S5}"))
+def snapshot_survives_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """A snapshot, later writes, then a scavenge by a store that was loaded from its folder."""
+    log, at_ = version_log(spark, sf), snaps(spark, sf)[1]
+    store = _store(spark)
+    c = _stored(store, log.where(F.col("seqno") <= at_))
+    number = store.create_snapshot(c, 1)
+    store.append(c, log.where(F.col("seqno") > at_))
+    again = Store.load(spark, store.root)
+    return again.view(again.scavenge(again.props(c.cguid)), up_to=number)
+
+
+@query(f"SELECT 0 AS up_to, count(*) AS n FROM ({live_sql('seqno <= 0')}) UNION ALL SELECT 1, count(*) FROM ({live_sql('seqno <= 1')}) UNION ALL SELECT NULL, count(*) FROM ({live_sql()})")
+def range_up_to_zero(spark: SparkSession, sf: str) -> DataFrame:
+    """How many objects a stored container has up to number 0, up to 1, and in all."""
+    store = _store(spark)
+    c = _stored(store, version_log(spark, sf))
+    parts = [store.scan(c, ranges.Range(up_to=n)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).cast("int").alias("up_to"), "n") for n in (0, 1, None)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"SELECT key, data FROM ({live_sql()}) WHERE key % 3 <> 0")
+def store_delete(spark: SparkSession, sf: str) -> DataFrame:
+    store, log = _store(spark), version_log(spark, sf)
+    c = _stored(store, log)
+    store.remove(c, log.where("key % 3 = 0").select("key"))
+    return store.view(c).select("key", "data")
+
+
+@query(f"SELECT key, data FROM ({XLIVE}) WHERE NOT (expiry_time > 0 AND expiry_time <= {NOW})")
+def store_read_at(spark: SparkSession, sf: str) -> DataFrame:
+    """Written with expiry times, read at a time."""
+    store, log = _store(spark), expiring_log(spark, sf)
+    c = store.open("c", create=True, schema=log.schema)
+    store.put(c, versions.live(log).select("key", "data", "create_time", "expiry_time", F.col("seqno").alias("ord")))
+    return store.view(c, now=NOW).select("key", "data")
+
+
+@query(f"SELECT key, data FROM ({XLIVE}) WHERE NOT (expiry_time > 0 AND expiry_time < {NOW})")
+def store_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    store = _store(spark)
+    c = _stored(store, expiring_log(spark, sf))
+    store.sweep(c, NOW)
+    return store.view(c).select("key", "data")
+
+
+@query(f"SELECT key, CASE WHEN key < {at_sql('events', 'user_id', 50)} AND data < 40 THEN data * 2 ELSE data END AS data FROM ({live_sql()}) ORDER BY key")
+def store_range_update(spark: SparkSession, sf: str) -> DataFrame:
+    store = _store(spark)
+    c = _stored(store, version_log(spark, sf))
+    store.update_range(c, F.col("key") < at(spark, sf, "events", "user_id", 50), F.col("data") * 2, F.col("data") < 40)
+    return store.enumerate(c).select("key", "data")
+
+
+@query(f"SELECT key, CAST(counter AS BIGINT) AS counter, pg, other, data FROM ({VISIBLE})")
+def store_log_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of all kinds appended as one batch to a log container, then reclaimed and enumerated."""
+    store = _store(spark)
+    c = store.open("c", create=True, kind="LOG")
+    store.append_records(c, log_records(spark, sf), None)
+    return store.enumerate(store.reclaim(c)).select("key", "counter", "pg", "other", "data")
+
+
+@query(f"WITH b AS ({BATCH}) SELECT key, data FROM (SELECT key, data, 0 AS s, 0 AS ord FROM ({live_sql()}) UNION ALL SELECT key, data, 1, ord FROM b) QUALIFY row_number() OVER (PARTITION BY key ORDER BY s DESC, ord DESC) = 1")
+def store_transaction(spark: SparkSession, sf: str) -> DataFrame:
+    """Two brackets, one within the other, and a third that is rolled back."""
+    store, batch = _store(spark), _batch(spark, sf)
+    c = _stored(store, version_log(spark, sf))
+    t, half = store.transaction(), at(spark, sf, "customer", "c_custkey", 50)
+    t.start()
+    t.put(c, batch.where(F.col("ord") <= half))
+    t.start()
+    t.put(c, batch.where(F.col("ord") > half))
+    t.commit()
+    t.commit()
+    t.start()
+    t.put(c, batch.withColumn("data", F.lit(-1.0)))
+    t.rollback()
+    return store.view(c).select("key", "data")
+
+
+@query(f"SELECT key, CAST((rn - 1) // 4 AS INTEGER) AS page, CASE WHEN max(rn) OVER () = 10 AND page < 3 THEN 'SUCCESS' END AS status FROM (SELECT key, row_number() OVER (ORDER BY key) AS rn FROM ({live_sql()}) ORDER BY key LIMIT 10) UNION ALL SELECT NULL, 3, 'QUERY_DONE' UNION ALL SELECT NULL, 4, 'STATE_CHANGED'")
+def cursor_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages of the ten smallest keys by a cursor, its end, and what it says after a compaction."""
+    store = _store(spark)
+    c = _stored(store, version_log(spark, sf))
+    tenth = [r["key"] for r in ranges.page(store.view(c), ranges.Range(), 10).collect()][-1:]
+    cursor, rows = store.cursor(c, ranges.Range(end=tenth[0], end_flag="le") if tenth else None), []
+    pages = 0
+    while True:
+        page, status = cursor.next(4)
+        rows += [(r["key"], pages, status) for r in page]
+        if not page:
+            break
+        pages += 1
+    rows.append((None, pages, status))
+    store.scavenge(c)
+    rows.append((None, pages + 1, cursor.next(4)[1]))
+    return spark.createDataFrame(rows, "key long, page int, status string")
+
+
 # streams, run to the end of their input
 
 
@@ -652,8 +847,8 @@ def latest_stream(spark: SparkSession, sf: str) -> DataFrame:
 
     events = table(spark, sf, "events")
     source = _versions_of(streams.file_stream(spark, f"{sf}/events*.parquet", events.schema))
-    streams.to_memory(streams.latest_stream(source), "keystrata_latest")
-    return spark.table("keystrata_latest").where("NOT tombstone").select("key", "seqno", "tombstone", "data", "create_time")
+    newest = streams.to_table(streams.latest_stream(source), f"{shared_dir(spark)}/streams", ["key"])
+    return newest.where("NOT tombstone").select("key", "seqno", "tombstone", "data", "create_time")
 
 
 @query(f"SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type AS key, count(*) AS n FROM events GROUP BY ALL")
@@ -662,8 +857,8 @@ def hot_keys_stream(spark: SparkSession, sf: str) -> DataFrame:
 
     events = table(spark, sf, "events")
     source = streams.file_stream(spark, f"{sf}/events*.parquet", events.schema).select(F.timestamp_seconds(epoch_seconds("ts")).alias("ts"), F.col("event_type").alias("key"))
-    streams.to_memory(streams.hot_keys_stream(source, "ts", "key"), "keystrata_hot")
-    return spark.table("keystrata_hot").select(F.unix_timestamp("start").alias("start"), "key", "n")
+    hot = streams.to_table(streams.hot_keys_stream(source, "ts", "key"), f"{shared_dir(spark)}/streams", ["start", "key"])
+    return hot.select(F.unix_timestamp("start").alias("start"), "key", "n")
 
 
 def _versions_of(e: DataFrame) -> DataFrame:

@@ -54,16 +54,19 @@ def upsert_latest(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(lambda df, n: write(newest(df, key, seqno), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def to_memory(result: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:
-    """Runs to the end of the input and keeps the result as a table of that name; for small results.
+def to_table(result: DataFrame, folder: str, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
+    """Runs to the end of the input and gives the last row of each key, or without keys all rows.
 
-    State goes to the folder that executors share (spark.checkpoint.dir), where the session names one.
+    Every micro-batch writes the rows it changed to a folder of its number, so one that is run again
+    after a failure replaces itself; state is kept beside them. The folder is one all executors share.
     """
-    spark = result.sparkSession
-    writer = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}")
-    query = writer.start()
-    query.awaitTermination()
-    return query
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    spark, columns = result.sparkSession, result.columns
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/rows/_batch={n}")
+    result.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    write(spark.createDataFrame([], result.schema), -1)  # so that there is a table without any input
+    rows = spark.read.schema(result.schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    if keys is None:
+        return rows.select(*columns)
+    others = [c for c in columns if c not in keys]
+    return rows.groupBy(*keys).agg(*(F.max_by(c, "_batch").alias(c) for c in others)).select(*columns)

@@ -28,8 +28,8 @@ def test_expiry_follows_the_watermark(spark, tmp_path):
         os.utime(tmp_path / "in" / f"{i}.parquet", (1_000_000 + i, 1_000_000 + i))
     schema = spark.createDataFrame([], SCHEMA).schema
     source = streams.file_stream(spark, str(tmp_path / "in"), schema, 1)
-    streams.to_memory(expire(source), "expiring_keys", "append")
-    got = [tuple(r) for r in spark.table("expiring_keys").collect()]
+    out = streams.to_table(expire(source), str(tmp_path / "out"), mode="append")
+    got = [tuple(r) for r in out.collect()]
     assert ("a", 4, "2", "EXPIRED") in got and ("a", 1, "1", "EXPIRED") not in got
     assert ("c", 6, None, "DELETED") in got and not [r for r in got if r[0] == "c" and r[3] == "EXPIRED"]
     assert not [r for r in got if r[0] in "bdef" and r[3] != "SUCCESS"]

@@ -80,8 +80,8 @@ def test_stream_ingest_and_upsert(spark, tmp_path):
     seen = []
     streams.upsert_latest(source, lambda df, n: seen.append((n, df.count())), str(tmp_path / "cp2")).awaitTermination()
     assert len(seen) >= 3 and all(n <= 5 for _, n in seen)
-    streams.to_memory(streams.statistics_stream(source, "seqno", "key"), "stats_of_keys")
-    assert spark.table("stats_of_keys").agg(F.sum("n")).first()[0] == 100
+    stats = streams.to_table(streams.statistics_stream(source, "seqno", "key"), str(tmp_path / "stats"), ["key"])
+    assert stats.agg(F.sum("n")).first()[0] == 100
 
 
 def test_special_containers_puts_and_commands(spark, tmp_path):

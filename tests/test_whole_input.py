@@ -10,8 +10,8 @@ def brute_transactions(orders):
     """Conflicts, uncommittable transactions and the order of the others, from all pairs."""
     touches = {}
     for key, customer, status in orders:
-        lo, hi, write = touches.get((customer % 500, key // 60 + key % 2), (key, key, False))
-        touches[customer % 500, key // 60 + key % 2] = min(lo, key), max(hi, key), write or status == "O"
+        lo, hi, write = touches.get((customer, key // 60 + key % 2), (key, key, False))
+        touches[customer, key // 60 + key % 2] = min(lo, key), max(hi, key), write or status == "O"
     nodes = {}
     for (node, trx), touch in touches.items():
         nodes.setdefault(node, []).append((trx, *touch))
@@ -33,7 +33,7 @@ def brute_transactions(orders):
 
 def test_transactions_of_all_orders(spark, tmp_path):
     r = random.Random(8)
-    rows = [(k, r.randrange(40) + 500 * r.randrange(3), 1.0, r.choice("OFP")) for k in sorted(r.sample(range(9000), 900))]
+    rows = [(k, r.randrange(40), 1.0, r.choice("OFP")) for k in sorted(r.sample(range(9000), 900))]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
     wanted = brute_transactions([(k, c, s) for k, c, _, s in rows])
     got = [{tuple(x) for x in queries.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("trx_conflicts", "trx_uncommittable", "trx_order_edges")]
@@ -49,8 +49,10 @@ def test_sizes_of_orders_of_any_key(spark, tmp_path):
 
 
 def test_updates_stop_at_the_first_missing_key_of_the_whole_batch(spark, tmp_path):
-    # the batch's keys are c_custkey * 7 % 400; those of the customers under 20 are there
-    spark.range(20).selectExpr("id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts", "id * 7 AS user_id", "'view' AS event_type", "1.0D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    # keys fall from the largest one, customer by customer; at the snapshot half of them are there
+    spark.range(21).selectExpr("id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts", "89 - id AS user_id", "'view' AS event_type", "1.0D AS value").write.parquet(str(tmp_path / "events.parquet"))
     spark.range(90).selectExpr("id AS c_custkey", "CAST(id AS DOUBLE) AS c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
     got = {(r["key"], r["data"], r["ord"]) for r in queries.QUERIES["mput_update"](spark, str(tmp_path)).collect()}
-    assert got == {(k * 7, float(k), k) for k in range(20)}
+    assert got == {(89 - k, float(k), k) for k in range(11)}
+    got = {r["key"] for r in queries.QUERIES["mput_insert"](spark, str(tmp_path)).collect()}
+    assert got == {90 + k for k in range(45)}
