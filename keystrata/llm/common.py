@@ -14,8 +14,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Characters of text that a Python worker holds in one step.
 STEP_CHARS = 2_000_000
+#: Partitions from which a scan is never dealt anew.
+SMALL_SPLITS = 64
 
 
 _shipped: set[str] = set()
@@ -43,26 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(scan: DataFrame) -> DataFrame:
     """A scan of fewer partitions than there are cores, so a small one, dealt over all cores.
 
-    Parquet splits by row group, and a small table may be a single one. Larger scans stay as they are.
+    Parquet splits by row group, and a small table may be a single one. Scans of SMALL_SPLITS and more,
+    several gigabytes, stay as they are on any cluster.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the setting is absent (local tests) a temporary folder is set instead.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            found = jvm_dir.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="keystrata-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < min(cores, SMALL_SPLITS) else scan
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
