@@ -67,6 +67,22 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
+    """docs with a unique number that orders them by id (nulls last), the first 64 characters of the text, and a hash of it.
+
+    Keys of bounded size cut the ranges, and the last of them is unique, so no id or text makes a large
+    range. The result is stored, so that every reader sees the same numbers.
+    """
+    spark, names = docs.sparkSession, []
+    for n in ("head", "of", "salt"):
+        names.append(clean_name([*docs.columns, out, *names], n))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    keyed = docs.withColumns(dict(zip(names, (F.substring(t, 1, 64), F.xxhash64(t), F.monotonically_increasing_id()), strict=True)))
+    order = [F.col(f"`{doc_id}`").asc_nulls_last(), *names]
+    ranged = keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop(*names)
+    return stored(ranged.withColumn(out, F.monotonically_increasing_id()), "numbered")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

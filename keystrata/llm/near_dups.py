@@ -17,23 +17,28 @@ is a connected component. Documents of the same words are one node. A bucket is
 2. In each bucket, documents with another head than its leader's are verified against that head, L.
 3. A link between two documents x and y verified against L, x without success, needs a shingle that
    both have and L has not, or sizes |x| + |y| <= i (1 + t) / t where i is the smaller number of
-   shingles they share with L (without a shingle outside L they share at most i). Pairs of such
-   sizes are few, as y must be smaller than L, and are verified. For the rest each (L, shared shingle
+   shingles they share with L (without a shingle outside L they share at most i). Documents of such
+   sizes stay together in the buckets of their bands, one for each L. For the rest each (L, shared shingle
    outside L) is a bucket of the next round, led by one of its documents. The prefix rule keeps
    these few: in order of how many documents of L have a shingle, x and y share one among the first
    |x| - ceil(t |x|) + 1 of x; so a failed document with that many shingles of its own is done. So is
    one whose shingles shared with L and those shared with others are too few for the smallest
    partner in the bucket.
 
-Rounds go on until no bucket with a failed document is left, or until leaders come up again with
-nothing but known pairs, when the few documents left in a bucket are paired. A rest of few pairs and
-little text, both measured first, is settled in one task. So no link between candidates is lost, and
-work follows the number of documents, not the square of a group. Candidates and verified pairs stay
-in tables in the shared folder.
+Rounds go on until no bucket with a failed document is left. A round leads a bucket by another document
+than the last; if TURNS leaders in a row bring nothing but known pairs, the documents left in the
+buckets are paired. A rest of few pairs and little text, both measured first, is settled in one task. So
+no link between candidates is lost, and work follows the number of documents, not the square of a
+group. The pairs of a leader are dealt over blocks of BLOCK, each with the leader's text once, so no
+task gets a whole family. Candidates and verified pairs stay in tables in the shared folder.
 
-Null texts and texts without a word are a class of their own each. Rows with the same id count as
-one document, whose text is the distinct texts in order, joined by line ends; rows of a null id are
-left out. Ties go to smaller ids. An empty table gives no rows.
+Word sequences are told apart by 128 bits of a BLAKE2b digest, shingles by 64 bits of a hash that is
+not linear in the words.
+
+Null texts and texts without a word are a class of their own each. Rows with the same id are one
+document, which has the links of each of its texts; rows of a null id are left out of `classes`, and
+documents of their own for `one_of_each`. Ties go to smaller ids. An empty table gives no rows. Columns
+other than id and text are not read by `classes` and kept by `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,13 +52,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clean_name, ship, steps, stored
+from .common import clean_name, numbered, ship, steps, stored
 from .components import components
 from .words import Words, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 128, 32
 LOCAL_PAIRS, LOCAL_BYTES = 100_000, 32 << 20  # of a rest that one task settles
+BLOCK, TURNS = 4096, 4  # pairs of one leader in a task's block; leaders tried before a bucket is paired
 BROADCAST_IDS = 100_000  # ids of a round that may be broadcast, under 2 MB; more are joined by a shuffle
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,8 +130,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataF
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # a round of few pairs moves only their texts
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    # a leader of very many pairs is dealt over blocks; its text goes once to each
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")), F.lit(0)).cast("int").alias("block"))
+    leaders = pairs.select("a").distinct().join(hot, "a", "left").select("a", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+    leaders = leaders.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+    both = dealt.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(leaders, ["a", "block"]).select("a", "b", "ta", "tb")
     id_type = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), *(T.StructField(c, T.LongType()) for c in ("na", "nb", "both")), T.StructField("ok", T.BooleanType()), T.StructField("outside", T.ArrayType(T.LongType()))])
 
@@ -135,13 +145,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataF
                 for part in steps(batch, "tb"):
                     n = part.num_rows
                     ta, tb = part.column(2), part.column(3)
-                    # the rows of a leader follow one another; its text is worked on once
-                    lead = np.ones(n, bool)
-                    lead[1:] = ~pa.compute.fill_null(pa.compute.equal(part.column(0).slice(1), part.column(0).slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
-                    of = np.cumsum(lead) - 1
-                    xa, ha, _ = weighted_shingles(Words(ta.filter(pa.array(lead))), shingle)
+                    # a leader's text is worked on once
+                    of = pa.compute.dictionary_encode(part.column(0)).indices.to_numpy().astype(np.int64)
+                    lead = np.unique(of, return_index=True)[1]
+                    xa, ha, _ = weighted_shingles(Words(ta.take(pa.array(lead))), shingle)
                     xb, hb, _ = weighted_shingles(Words(tb), shingle)
-                    na, nb = np.bincount(xa, minlength=int(of[-1]) + 1)[of], np.bincount(xb, minlength=n)
+                    na, nb = np.bincount(xa, minlength=len(lead))[of], np.bincount(xb, minlength=n)
                     # the pair's leader is mixed in, so one membership test serves all pairs
                     shared = np.isin(mix(hb + mix(of[xb].astype(np.uint64) * _GOLD)), mix(ha + mix(xa.astype(np.uint64) * _GOLD)))
                     both_ = np.bincount(xb, weights=shared, minlength=n).astype(np.int64)
@@ -154,19 +163,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataF
     return both.mapInArrow(run, schema)
 
 
-def _next_pairs(checked: DataFrame, t: float) -> tuple[DataFrame, DataFrame] | None:
-    """Pairs (a, b), and buckets (bucket, b, ok), of what may be linked though one failed against their
-    common leader; None if nothing failed."""
+def _next_buckets(checked: DataFrame, bands: DataFrame, t: float) -> DataFrame | None:
+    """Buckets (bucket, b, ok) of what may be linked though one failed against their common leader; None if
+    nothing failed. bands: bucket and b, of all candidates."""
     room = (1 + t) / t
     cap = F.col("both") * room - F.col("nb") + 1e-9  # the largest size of a partner that has nothing outside the leader
     families = checked.groupBy("a").agg(F.min("ok").alias("all_ok"), F.count(F.lit(1)).alias("n"), F.min("nb").alias("least"), F.max(F.when(~F.col("ok"), cap)).alias("cap")).where("not all_ok and n > 1").drop("all_ok", "n")
     own = stored(checked.join(families, "a"), "families")
     if own.isEmpty():
         return None
-    sizes = own.where(F.col("both") >= t * F.col("nb"))
-    x = sizes.where(~F.col("ok") & (cap >= F.col("least"))).select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("both").alias("ix"))
-    y = sizes.where(F.col("nb") <= F.col("cap")).select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("both").alias("iy"), "ok")
-    small = x.join(y, "a").where((F.col("nx") + F.col("ny") <= F.least("ix", "iy") * room + 1e-9) & (F.col("ok") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # what may be linked without a shingle outside the leader: of fitting sizes, and together in a band
+    sizes = own.where((F.col("both") >= t * F.col("nb")) & ((~F.col("ok") & (cap >= F.col("least"))) | (F.col("nb") <= F.col("cap"))))
+    inside = sizes.select("a", "b", "ok", "nb", F.col("both").alias("reach")).join(bands.withColumnRenamed("bucket", "band"), "b").select(F.xxhash64("a", "band", F.lit(1)).alias("bucket"), "b", "ok", "nb", "reach")
     # shingles outside the leader that several documents of the family have
     out = own.select("a", "b", F.explode("outside").alias("s"))
     shared = out.groupBy("a", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -174,16 +182,18 @@ def _next_pairs(checked: DataFrame, t: float) -> tuple[DataFrame, DataFrame] | N
     of = own.select("a", "b", "nb", "both", "ok", F.size("outside").alias("n")).join(of, ["a", "b"])
     prefix = F.col("nb") - F.ceil(F.col("nb") * t - 1e-9) + 1 - (F.col("n") - F.size("common"))
     chosen = F.when(F.col("ok"), F.col("common")).otherwise(F.slice("common", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")))
-    in_bucket = of.select(F.explode(chosen).alias("c"), "a", "b", "ok", "nb", (F.col("both") + F.size("common")).alias("reach")).select(F.xxhash64("a", "c.s").alias("bucket"), "b", "ok", "nb", "reach")
+    in_bucket = of.select(F.explode(chosen).alias("c"), "a", "b", "ok", "nb", (F.col("both") + F.size("common")).alias("reach")).select(F.xxhash64("a", "c.s").alias("bucket"), "b", "ok", "nb", "reach").unionByName(inside)
     # x and y have at most reach in common; with the smallest partner in the bucket that must do
     least = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ok").alias("all_ok"), F.min("nb").alias("least")).where("n > 1 and not all_ok").select("bucket", "least")
     in_bucket = in_bucket.join(least, "bucket").where(F.col("reach") * room >= F.col("nb") + F.col("least") - 1e-9).select("bucket", "b", "ok")
-    return small.distinct(), in_bucket
+    return in_bucket
 
 
-def _led(in_bucket: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's leader, a linked document if it has one, and each other document."""
-    lead = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ok").alias("all_ok"), F.max(F.struct("ok", (-F.col("b")).alias("m"))).alias("top")).where("n > 1 and not all_ok").select("bucket", (-F.col("top.m")).alias("a"))
+def _led(in_bucket: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's leader, a linked document if it has one, and each other document; each turn has
+    leaders of its own."""
+    rank = F.struct("ok", F.xxhash64("b", F.lit(turn)).alias("r"), F.col("b").alias("m"))
+    lead = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ok").alias("all_ok"), F.max(rank).alias("top")).where("n > 1 and not all_ok").select("bucket", F.col("top.m").alias("a"))
     return in_bucket.join(lead, "bucket").where("a <> b").select("a", "b")
 
 
@@ -228,16 +238,27 @@ def _few(in_bucket: DataFrame, texts: DataFrame, shingle: int, t: float) -> Data
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, registers: int = REGISTERS, bands: int = BANDS) -> DataFrame:
     """(doc_id, class_id): a row per id; class_id is the smallest id of its class."""
-    docs = docs.select(F.col(doc_id), F.col(text)).where(F.col(doc_id).isNotNull())
-    if _repeats(docs.select(F.col(doc_id).alias("id"))):
-        docs = docs.groupBy(doc_id).agg(F.concat_ws("\n", F.sort_array(F.collect_set(text))).alias(text))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).where("id IS NOT NULL")
+    if not _repeats(rows.select("id")):
+        return _classes(rows, None, shingle, similarity, registers, bands).select(F.col("id").alias(doc_id), F.col("class").alias("class_id"))
+    # every row is a node, and the rows of an id are linked to the first of them
+    rows = numbered(rows, "id", "t", "at")
+    found = _classes(rows.select(F.col("at").alias("id"), "t"), rows.select("at", F.col("id").alias("of")), shingle, similarity, registers, bands)
+    first = rows.select(F.col("at").alias("class"), F.col("id").alias("class_id"))
+    out = rows.select("at", F.col("id").alias("of")).join(found, F.col("at") == F.col("id")).join(first, "class").groupBy("of").agg(F.min("class_id").alias("class_id"))
+    return out.select(F.col("of").alias(doc_id), "class_id")
+
+
+def _classes(docs: DataFrame, same: DataFrame | None, shingle: int, similarity: float, registers: int, bands: int) -> DataFrame:
+    """(id, class) of rows id, t of unique ids; rows that `same` (at, of) gives one name are linked."""
+    text, doc_id = "t", "id"
     signed = stored(signatures(docs, text, doc_id, shingle, registers, bands), "signatures")
     nodes = stored(signed.where(F.size("bands") > 0).groupBy("k0", "k1").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = stored(rows.join(many, "bucket"), "buckets")
     company = rows.groupBy("node").agg(F.sum("n").alias("company"))
-    texts = stored(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(company.select(F.col("node").alias("id")), "id", "left_semi"), "texts")
+    texts = stored(docs.select("id", "t").join(company.select(F.col("node").alias("id")), "id", "left_semi"), "texts")
     rows = rows.join(company, "node").select("bucket", "node", F.struct("company", (-F.col("node")).alias("m")).alias("rank"))
     rows = stored(rows.join(rows.groupBy("bucket").agg(F.max("rank").alias("top")), "bucket").select("bucket", "node", "top"), "led")
     best = rows.groupBy("node").agg((-F.max("top").getField("m")).alias("best"))
@@ -249,14 +270,21 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     checked = verified.unionByName(stored(_verify(stored(pairs, "pairs"), texts, shingle, similarity), "verified"))
     verified = checked.drop("outside")
     links: DataFrame | None = None
-    while (left := _next_pairs(checked, similarity)) is not None:
-        small, in_bucket = left[0], stored(left[1], "rare-buckets")
+    in_bands, turn = rows.select("bucket", F.col("node").alias("b")), 0
+    while (found := _next_buckets(checked, in_bands, similarity)) is not None:
+        in_bucket = stored(found, "rare-buckets")
         known = verified.select("a", "b")
         links = _few(in_bucket, texts, shingle, similarity)
-        # a leader is verified against all of its bucket, known or not, so that they are one family
-        pairs = stored(small if links is not None else small.union(_led(in_bucket)).distinct(), "pairs")
-        last = links is not None or pairs.join(known, ["a", "b"], "left_anti").isEmpty()
-        if last and links is None:  # the leaders have been through all of this: what is left is paired
+        if links is not None:
+            break
+        for _ in range(TURNS):
+            # a leader is verified against all of its bucket, known or not, so that they are one family
+            turn += 1
+            pairs = stored(_led(in_bucket, turn).distinct(), "pairs")
+            last = pairs.join(known, ["a", "b"], "left_anti").isEmpty()
+            if not last:
+                break
+        if last:  # the leaders have been through all of this: what is left is paired
             one, two = in_bucket.alias("x"), in_bucket.alias("y")
             both = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.b") < F.col("y.b")) & ~(F.col("x.ok") & F.col("y.ok")))
             pairs = stored(both.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
@@ -270,13 +298,16 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     linked = verified.where("ok").select("a", "b")
     if links is not None:
         linked = linked.union(links)
+    if same is not None:
+        named = same.join(member, F.col("at") == F.col("id")).select("of", "node")
+        hub = named.groupBy("of").agg(F.min("node").alias("a"))
+        linked = linked.union(named.join(hub, "of").where("a <> node").select("a", F.col("node").alias("b")))
     if linked.isEmpty():
         out = member.select("id", F.col("node").alias("class"))
     else:
         label = components(linked).withColumnRenamed("node", "of")
         out = member.join(label, F.col("node") == F.col("of"), "left").select("id", F.coalesce("component", "node").alias("class"))
-    out = stored(out, "classes")
-    return out.select(F.col("id").alias(doc_id), F.col("class").alias("class_id"))
+    return stored(out, "classes")
 
 
 def _repeats(signed: DataFrame) -> bool:
@@ -288,16 +319,17 @@ def _wordless(signed: DataFrame) -> bool:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: that of its smallest id; rows of a null id stay."""
-    found = classes(docs, text, doc_id, shingle, similarity).where(f"`{doc_id}` <> class_id").select(F.col(doc_id).alias(clean_name(docs.columns, "dropped")))
+    """docs with one row of each class: that of its smallest id.
+
+    Rows that share an id, and rows without one, are documents of their own here, in order of text, those
+    without an id last: no row goes but for a near copy that stays.
+    """
+    if _repeats(docs.select(F.col(f"`{doc_id}`").alias("id"))) or not docs.where(F.col(f"`{doc_id}`").isNull()).isEmpty():
+        at = clean_name(docs.columns, "at")
+        return one_of_each(numbered(docs, doc_id, text, at), text, at, shingle, similarity).drop(at)
+    found = classes(docs, text, doc_id, shingle, similarity).where(f"`{doc_id}` <> class_id").select(F.col(f"`{doc_id}`").alias(clean_name(docs.columns, "dropped")))
     found = stored(found, "dropped")
-    name = found.columns[0]
-    kept = docs.join(found, F.col(f"`{doc_id}`") == F.col(name), "left_anti")
-    ids = docs.select(F.col(f"`{doc_id}`").alias("id")).where("id is not null")
-    if _repeats(ids):
-        null = kept.where(F.col(f"`{doc_id}`").isNull())
-        kept = kept.where(F.col(f"`{doc_id}`").isNotNull()).dropDuplicates([doc_id]).unionByName(null)
-    return kept
+    return docs.join(found, F.col(f"`{doc_id}`") == F.col(found.columns[0]), "left_anti")
 
 
 #: The classes in DuckDB's SQL for unique ids, from all pairs that share a shingle: for small tables.

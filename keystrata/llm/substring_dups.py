@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_name, power_of_two, ship, shuffle_partitions, stored
+from .common import clean_name, numbered, power_of_two, ship, shuffle_partitions
 from .words import Words
 
 SIZE = 20
@@ -242,11 +242,7 @@ def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
     if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty():
         return rows.select(F.col("id").alias("at"), "id", "t")
-    # keys of bounded size cut the ranges, and the last of them is unique, so that no range must be large
-    keyed = rows.select("id", "t", F.substring(F.coalesce("t", F.lit("")), 1, 64).alias("head"), F.xxhash64("t").alias("of"), F.monotonically_increasing_id().alias("salt"))
-    order = [F.col("id").asc_nulls_last(), "head", "of", "salt"]
-    ranged = keyed.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return stored(ranged.select(F.monotonically_increasing_id().alias("at"), "id", "t"), "in-order")
+    return numbered(rows, "id", "t", "at").select("at", "id", "t")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, with_text: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from keystrata.llm import components as components_module
 from keystrata.llm import decontamination, near_dups
 
 
@@ -14,24 +15,26 @@ def shingles(text, n=5):
 
 
 def brute_classes(rows, t=0.8):
+    """Rows of an id are one document, with the links of each of its texts."""
     of = {}
     for i, text in rows:
         if i is not None:
-            of.setdefault(i, set()).add(text)
-    sets = {i: shingles("\n".join(sorted(x for x in v if x is not None))) for i, v in of.items()}
-    up = {i: i for i in sets}
+            of.setdefault(i, set()).add(shingles(text))
+    up = {i: i for i in of}
 
     def find(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    ids = sorted(sets)
+    ids = sorted(of)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            both = len(sets[a] & sets[b])
-            if sets[a] and both >= t * (len(sets[a]) + len(sets[b]) - both):
-                up[max(find(a), find(b))] = min(find(a), find(b))
+            for x in of[a]:
+                for y in of[b]:
+                    both = len(x & y)
+                    if x and both >= t * (len(x) + len(y) - both):
+                        up[max(find(a), find(b))] = min(find(a), find(b))
     return {i: find(i) for i in ids}
 
 
@@ -81,11 +84,36 @@ def test_edge_cases(spark):
     rows = [(1, None), (2, None), (3, ""), (4, " \n"), (5, "a"), (6, " a "), (7, "a b c d"), (8, "a b c d"), (9, "a b c d e"), (None, "a"), (10, "one two three four five six"), (10, "another text of that id"), (11, "another text of that id\none two three four five six"), (12, "same " * 400), (13, "same " * 300)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, id string")
     got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(docs).collect()}
-    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 10, 11: 10, 12: 12, 13: 12}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 10, 11: 11, 12: 12, 13: 12} == brute_classes(rows)
     assert near_dups.classes(docs.limit(0)).count() == 0
     kept = near_dups.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 9, 10, 12]
+    # both texts of id 10 stay, and the row without an id is a copy of 5
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 2, 3, 4, 5, 7, 9, 10, 10, 11, 12]
+    clash = near_dups.one_of_each(docs.withColumnsRenamed({"id": "at"}))
+    assert clash.columns == ["doc_id", "text", "at"] and clash.count() == 11
+    assert near_dups.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_a_document_of_two_texts_joins_their_classes(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "xyz"]
+    rows = [(7, words[0]), (9, words[1]), (5, words[0]), (5, words[1]), (6, words[2]), *[(8, words[2])] * 50, (8, None)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 7: 5, 9: 5, 6: 6, 8: 6} == brute_classes(rows)
+
+
+@pytest.mark.parametrize("in_one_task", [True, False])
+def test_fragments_of_one_document_and_hot_leaders(spark, in_one_task, monkeypatch):
+    # many fragments of a text, alike only to their neighbours, under a leader that has all of them
+    if not in_one_task:
+        monkeypatch.setattr(near_dups, "LOCAL_PAIRS", -1)
+    monkeypatch.setattr(near_dups, "BLOCK", 3)
+    monkeypatch.setattr(components_module, "BLOCK", 2)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))] + [(1 + k, " ".join(base[k % 3 : 100 + k % 3 - 2 * (k // 3)])) for k in range(24)]
+    rows += [(100 + k, " ".join(base[20:80] + [f"o{k}"] * 3)) for k in range(12)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
 
 
 def test_prob_min_hash_estimates_probability_jaccard():
