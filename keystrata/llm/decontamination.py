@@ -11,20 +11,25 @@ No overlap that verification accepts is without a hit. It lets 3 words be replac
 wherever the replaced words are, and there is a mask for each such choice of blocks.
 
 Items under 5 words can't be told from common phrases and match nothing. Null and empty texts have
-no words and no rows.
+no words and no rows. Rows with the same ids count together, rows without an id as well. Other columns
+of the input are not read by `overlaps` and kept by `clean`, whatever their names; empty tables give no
+overlaps.
 
-Items are broadcast while their seeds with their words take at most BROADCAST_BYTES, measured on the
-table first; a larger benchmark is joined by a shuffle of the hashes. Documents are read once and only
-verified hits are shuffled, after a partial aggregation.
+Documents are never shuffled: an item's seeds, and its words once, are broadcast. A benchmark whose seeds and
+words take more than BROADCAST_BYTES, measured first, is cut into blocks of items below that, and
+documents are read once a block. Only verified hits are shuffled, after a partial aggregation.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import clean_name
+
 SEPARATOR = r"[^\p{L}\p{N}]+"
 # The places each seed of the SQL takes.
 MASKS = ("111010011011", "110110100111")
@@ -61,25 +66,40 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     Of several lines of one document and item the one with most equal words counts, then the first.
     Rows with the same ids count together. doc_start is the document's word beside the item's first.
     """
-    items = benchmark.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("iw"), F.octet_length(item_text).alias("bytes")).where(F.size("iw") >= SHORTEST).distinct()
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item"), words(F.col(f"`{item_text}`")).alias("iw")).where(F.size("iw") >= SHORTEST).distinct()
     kind = F.when(F.size("iw") < 10, 5).when(F.size("iw") < 15, 10).otherwise(15)
     n_masks = F.coalesce(*(F.when(kind == k, F.lit(len(m))) for k, m in SEEDS.items()))
-    facts = items.agg(F.collect_set(kind).alias("kinds"), F.sum((F.size("iw") * n_masks).cast("double") * (F.col("bytes") + 24 * F.size("iw"))).alias("size")).first()
-    seeds_of = [(m, n, kind == k) for k in sorted(facts["kinds"]) for n, m in enumerate(SEEDS[k], 100 * k)]
-    found = docs.select(F.col(doc_id).alias("doc"), words(F.col(text)).alias("w"))
-    if not seeds_of:  # an empty benchmark
-        seeds_of = [("1" * SPAN, -1, F.lit(False))]
-    parts = [items.where(which).select("item", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - len(m))).alias("q")).select("item", "iw", "q", F.lit(len(m)).alias("span"), _seed(F.col("iw"), F.col("q"), m, n).alias("seed")) for m, n, which in seeds_of]
+    # a seed row takes some 64 bytes, a word its letters and 24 more
+    size = F.size("iw") * (64 * n_masks + 24) + F.octet_length(F.array_join("iw", ""))
+    facts = items.agg(F.collect_set(kind).alias("kinds"), F.sum(size.cast("double")).alias("size")).first()
+    found = docs.select(F.col(f"`{doc_id}`").alias("doc"), words(F.col(f"`{text}`")).alias("w"))
+    blocks = max(1, math.ceil((facts["size"] or 0) / BROADCAST_BYTES))
+    kinds = sorted(facts["kinds"]) or [15]  # of an empty benchmark any
+    # two numbers tell an item's rows apart: the same id may have several texts
+    named = items.withColumns({"key": F.xxhash64("item", "iw"), "more": F.hash("iw", "item")})
+    parts = []
+    for b in range(blocks):
+        own = named if blocks == 1 else named.where(F.pmod(F.xxhash64("iw"), F.lit(blocks)) == b)
+        parts.append(_good(found, own, kinds, kind))
+    good = parts[0]
+    for p in parts[1:]:
+        good = good.unionByName(p)
+    best = good.groupBy("doc", "item").agg(F.max(F.struct("equal", (-F.col("line")).alias("m"), "n")).alias("best"))
+    return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("best.n").cast("long").alias("n_item_words"), F.col("best.equal").cast("long").alias("n_equal"), (-F.col("best.m")).cast("long").alias("doc_start"))
+
+
+def _good(found: DataFrame, items: DataFrame, kinds: list[int], kind: Column) -> DataFrame:
+    """(doc, item, n, equal, line) of verified hits of documents (doc, w) with items that may be broadcast."""
+    seeds_of = [(m, n, kind == k) for k in kinds for n, m in enumerate(SEEDS[k], 100 * k)]
+    parts = [items.where(which).select("key", "more", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - len(m))).alias("q")).select("key", "more", "q", F.lit(len(m)).alias("span"), _seed(F.col("iw"), F.col("q"), m, n).alias("seed")) for m, n, which in seeds_of]
     seeds = parts[0]
     for p in parts[1:]:
         seeds = seeds.unionByName(p)
-    if (facts["size"] or 0) <= BROADCAST_BYTES:
-        seeds = F.broadcast(seeds)
     least = min(len(m) for m, _, _ in seeds_of)
     at = found.where(F.size("w") >= least).select("doc", "w", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("p"))
     # a place too near the end for a mask has nulls there, which no item's seed has
     hashes = F.array(*(F.when(F.col("p") + len(m) <= F.size("w"), _seed(F.col("w"), F.col("p"), m, n)) for m, n, _ in seeds_of))
-    hits = at.select("doc", "w", "p", F.explode(hashes).alias("seed")).where("seed is not null").join(seeds, "seed")
+    hits = at.select("doc", "w", "p", F.explode(hashes).alias("seed")).where("seed is not null").join(F.broadcast(seeds), "seed").join(F.broadcast(items), ["key", "more"])
     # A hit takes along the words beside the item only. Generated code holds all hits of one document
     # at once, so they must be small; explode keeps the slice below the lambda functions, which would
     # otherwise end the generated code and have it hand on the document's whole array with each hit.
@@ -95,15 +115,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
     last = F.least(F.col("q"), F.col("n") - long)
     enough = F.exists(F.sequence(first, F.greatest(first, last)), lambda s: F.size(F.filter(F.slice(F.col("same"), s + 1, long), lambda x: x)) >= long * EQUAL)
     n_equal = F.size(F.filter("same", lambda x: x))
-    good = hits.where(enough).select("doc", "item", "n", n_equal.alias("equal"), "line")
-    best = good.groupBy("doc", "item").agg(F.max(F.struct("equal", (-F.col("line")).alias("m"), "n")).alias("best"))
-    return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("best.n").cast("long").alias("n_item_words"), F.col("best.equal").cast("long").alias("n_equal"), (-F.col("best.m")).cast("long").alias("doc_start"))
+    return hits.where(enough).select("doc", "item", "n", n_equal.alias("equal"), "line")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the documents that overlap an item; rows of a null id stay."""
-    bad = overlaps(docs, benchmark, text, doc_id).select(F.col(doc_id).alias("overlapping_id")).distinct()
-    return docs.join(bad, F.col(f"`{doc_id}`") == F.col("overlapping_id"), "left_anti")
+    """docs without the documents that overlap an item: all rows of such an id, and of rows without an id
+    those whose own text overlaps."""
+    names = [clean_name(docs.columns, "overlapping_id")]
+    names += [clean_name([*docs.columns, *names], "overlapping_text")]
+    # the text of a row without an id stands for it
+    key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.when(F.col(f"`{doc_id}`").isNull(), F.sha2(F.col(f"`{text}`").cast("binary"), 256)).alias("text"))
+    bad = overlaps(docs.select(key.alias("key"), F.col(f"`{text}`").alias("text")), benchmark, "text", "key").select(F.col("key.id").alias(names[0]), F.col("key.text").alias(names[1])).distinct()
+    known, nameless = bad.where(F.col(names[0]).isNotNull()).select(names[0]), bad.where(F.col(names[0]).isNull()).select(names[1])
+    kept = docs.join(known, F.col(f"`{doc_id}`") == F.col(names[0]), "left_anti")
+    return kept.join(nameless, F.when(F.col(f"`{doc_id}`").isNull(), F.sha2(F.col(f"`{text}`").cast("binary"), 256)) == F.col(names[1]), "left_anti")
 
 
 _SEED_SQL = [(m, _places(m)) for m in MASKS]

@@ -147,14 +147,41 @@ def test_overlaps_tolerate_substitutions_and_leave_others_alone(spark):
     assert got == {(1, 70), (2, 70), (5, 71), (9, 70), (None, 70), (11, 70)}
     best = {x["doc_id"]: tuple(x)[2:] for x in decontamination.overlaps(docs, bench).collect()}
     assert best[11] == (40, 40, 0) and best[1][:2] == (40, 40)
-    assert sorted(x["doc_id"] or 0 for x in decontamination.clean(docs, bench).collect()) == [0, 3, 4, 6, 7, 8, 10]
+    assert sorted(x["doc_id"] or 0 for x in decontamination.clean(docs, bench).collect()) == [3, 4, 6, 7, 8, 10]
     assert decontamination.overlaps(docs, bench.limit(0)).count() == 0 and decontamination.overlaps(docs.limit(0), bench).count() == 0
 
 
-def test_a_large_benchmark_is_joined_by_a_shuffle(spark, monkeypatch):
-    rows = [(1, " ".join(f"w{i}" for i in range(30))), (2, "nothing of it")]
+def test_cleaning_keeps_columns_of_any_name_and_rows_without_an_id(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, item, 1, "x"), (None, "of its own", 2, "y"), (None, None, 3, "z"), (4, item, 4, "x"), (4, "the same id", 5, "x"), (5, "clean", 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, overlapping_id long, key string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = decontamination.clean(docs, bench)
+    assert out.columns == docs.columns and sorted(r["overlapping_id"] for r in out.collect()) == [2, 3, 6]
+
+
+def test_a_large_benchmark_is_taken_in_blocks(spark, monkeypatch):
+    # 20 items, one of them twice and one id with two texts; a document of 100,000 words holds some of them
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(16 + i))) for i in range(20)] + [(3, " ".join(f"i3x{k}" for k in range(19))), (4, " ".join(f"second{k}" for k in range(30)))]
+    long = " ".join(["filler", "words"] * 25_000 + items[7][1].split() + ["more", "of", "them"] * 16_000 + items[12][1].split())
+    rows = [(1, long), (2, items[0][1] + " x " + items[-1][1]), (3, "nothing of it"), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(5, 25)))], "item_id long, text string")
-    wanted = decontamination.overlaps(docs, bench).collect()
-    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
-    assert decontamination.overlaps(docs, bench).collect() == wanted and len(wanted) == 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    wanted = sorted(map(tuple, decontamination.overlaps(docs, bench).collect()))
+    assert {r[:2] for r in wanted} == {(1, 7), (1, 12), (2, 0), (2, 4)}
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 20_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = decontamination.overlaps(docs, bench)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        physical = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == wanted
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # documents are cut into blocks of items, and none of their words go through an exchange
+    assert plan.count("Generate explode") > 3 and "SortMergeJoin" not in physical
+    for line in physical.splitlines():
+        if "Exchange hashpartitioning(doc" in line:
+            break
+    else:
+        raise AssertionError("the verified hits are shuffled by document")
