@@ -12,7 +12,13 @@ symbol each, others share 37 by code point. Texts are processed whole.
 Null texts and texts without a letter are `und` with score 0. The score is the cosine, at least 0.
 
 The prototypes are fitted on at most about `rows_per_language` distinct labelled texts of each
-language (all of them where there are fewer), chosen by a hash of the text; only they are sampled. Components are summed as scaled integers, so any task order gives the same prototypes.
+language (all of them where there are fewer), chosen by a hash of the text, and on the `most_languages`
+languages of most distinct texts; only the fit is bounded so. Components are summed as scaled integers,
+so any task order gives the same prototypes.
+
+Rows are independent: repeated rows give repeated results. An empty table gives no rows. Without a
+labelled training row there is no prototype, and all documents are `und` with score 0. Columns of the
+input stay; a clashing lang_pred or score gets underscores behind its name.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from .common import clean_name, held_out, ship, steps
 DIMENSIONS, SEED, GRAM = 1024, 20260101, 3
 SYMBOLS = 64
 UNDETERMINED = "und"
-ROWS_PER_LANGUAGE = 3000
+ROWS_PER_LANGUAGE, MOST_LANGUAGES = 3000, 1000
 SCALE = 1 << 20
 PIECE = 1 << 20  # characters of one text encoded at once
 
@@ -121,17 +127,19 @@ class Prototypes:
     vectors: np.ndarray
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Prototypes:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Prototypes:
     """Prototypes from the rows with a language; the caller leaves out what is held out."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     # distinct texts, of which the sample is taken: copies leave it as large
-    counts = {r["lang"]: r["count"] for r in rows.select("lang", F.xxhash64("text").alias("copy")).distinct().groupBy("lang").count().collect()}
+    counted = rows.select("lang", F.xxhash64("text").alias("copy")).distinct().groupBy("lang").count()
+    counts = {r["lang"]: r["count"] for r in counted.orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return Prototypes((), np.empty((0, DIMENSIONS), np.float32))
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, rows_per_language / n))) for k, n in sorted(counts.items())))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, rows_per_language / n)) for k, n in counts.items()], "lang string, share double")
+    rows = rows.join(F.broadcast(shares), "lang")  # at most most_languages rows
     # chosen by text, and each text once: a large group of copies can't fill the sample
     place = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_003))
-    chosen = rows.where(place < share * 1_000_003).groupBy(F.xxhash64("text").alias("copy"), "lang").agg(F.first("text").alias("text")).select("text", "lang")
+    chosen = rows.where(place < F.col("share") * 1_000_003).groupBy(F.xxhash64("text").alias("copy"), "lang").agg(F.first("text").alias("text")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sums = encoder(), {}
