@@ -39,6 +39,44 @@ def test_top_k_is_brute_force(spark, shard_rows):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_query_rows_of_one_id_are_ranked_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), *[(i, [i / 10, 1 - i / 10]) for i in range(1, 8)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"q": F.lit("x"), "region": F.lit(1)})
+    out = topk.top_k(df, F.col("vec_id") == 0, k=3, shard_rows=4).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in out) == [(1, 1), (1, 7), (2, 2), (2, 6), (3, 3), (3, 5)]
+    assert {r["query_id"] for r in out} == {0}
+
+
+def test_regions_are_left_out_by_their_boxes(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(8, 3)) * 20
+    vectors = np.concatenate([c + r.normal(size=(200, 3)) for c in centres])
+    ints = np.floor(vectors * 1024).astype(np.int64)
+    splits = topk.Splits(ints[::4], 4)
+    region = splits.region(ints)
+    own = [ints[region == k] for k in range(16)]
+    assert sum(map(len, own)) == len(ints) and max(map(len, own)) < 400
+    some = [k for k in range(16) if len(own[k])]
+    boxes = topk.Boxes(some, np.array([own[k].min(0) for k in some]), np.array([own[k].max(0) for k in some]), [1] * len(some))
+    left_out = 0
+    for q in ints[::50]:
+        kth = np.sort(ints @ q)[-10]
+        bound = boxes.bounds(q)
+        assert all(bound[i] >= (own[k] @ q).max() for i, k in enumerate(some))
+        left_out += int((bound < kth).sum())
+    assert left_out > 0.5 * len(some) * len(ints[::50])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=100).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    for q, found in got.items():
+        scores = ints @ ints[q]
+        wanted = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
+        assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(wanted)]
+    assert len(got) == 32
+
+
 def test_tree_prunes_and_stays_exact():
     r = np.random.default_rng(7)
     vectors = r.integers(-1000, 1000, (4000, 4))
