@@ -129,6 +129,53 @@ def test_warc_files_round_trip(spark, tmp_path):
         assert (part.offset == part.length.cumsum() - part.length).all()
 
 
+def test_warc_files_of_all_kinds(spark, tmp_path):
+    import gzip
+
+    def rec(kind, body, *more, version="WARC/1.0"):
+        return "\r\n".join([version, f"WARC-Type: {kind}", *more, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+
+    info = rec("warcinfo", b"software: x\r\n", "WARC-Record-ID: <urn:1>", "WARC-Date: 2024-01-01T00:00:00Z")
+    request = rec("request", b"GET / HTTP/1.1\r\n\r\n", "warc-target-uri:http://a/", "X-Folded: one", "  two")
+    empty = rec("metadata", b"")
+    plain = info + request + empty
+    cases = {
+        "plain.warc": plain,
+        "body.warc": plain + info[:-8],  # cut off in a body
+        "head.warc": plain + info[:20],
+        "none.warc": b"",
+        "nolength.warc": info + b"WARC/1.0\r\nWARC-Type: x\r\nno colon here\r\n\r\nrest",
+        "zipped.warc.gz": b"".join(gzip.compress(x) for x in (info, request, empty)),
+        "cut.warc.gz": gzip.compress(info) + gzip.compress(request)[:-12],
+        "junk.warc.gz": b"\x1f\x8bnothing of it",
+    }
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    got = {}
+    for r in warc.read_warc(spark, str(tmp_path)).orderBy("path", "offset").collect():
+        got.setdefault(r["path"].rsplit("/", 1)[-1], []).append(r)
+    status = {k: [r["status"] for r in v] for k, v in got.items()}
+    assert status == {
+        "plain.warc": ["ok"] * 3, "body.warc": ["ok"] * 3 + ["truncated"], "head.warc": ["ok"] * 3 + ["truncated"], "nolength.warc": ["ok", "malformed"],
+        "zipped.warc.gz": ["ok"] * 3, "cut.warc.gz": ["ok", "truncated"], "junk.warc.gz": ["truncated"],
+    }
+    one, two, three = got["plain.warc"]
+    assert (one["type"], one["record_id"], one["date"], one["url"]) == ("warcinfo", "<urn:1>", "2024-01-01T00:00:00Z", None)
+    assert two["url"] == "http://a/" and bytes(two["body"]).startswith(b"GET") and bytes(three["body"]) == b"" and three["record_id"] is None
+    for name, rows in got.items():  # rows cover the file
+        assert sum(r["length"] for r in rows) == len(cases[name]), name
+    assert [bytes(r["body"]) for r in got["zipped.warc.gz"]] == [bytes(r["body"]) for r in got["plain.warc"]]
+    assert warc.read_warc(spark, str(tmp_path), "plain*").count() == 3
+
+
+def test_a_drill_changes_every_drilled_page_and_no_length(spark):
+    rows = [(0, "u", "#page"), (997, "u", "<p>"), (1994, "u", None), (2991, "u", ""), (3988, "u", "épage"), (3989, "u", "x"), (None, "u", "#"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"shard": F.lit("s"), "r": F.lit(1)})
+    out = warc.report(warc.layout(df), warc.layout(warc.drilled(df))).collect()
+    assert {r["page_id"]: r["status"] for r in out if r["page_id"] is not None} == {0: "corrupt", 997: "corrupt", 1994: "intact", 2991: "intact", 3988: "intact", 3989: "intact"}
+    assert {r["status"] for r in out if r["page_id"] is None} == {"intact"} and len(out) == 8
+
+
 def test_language_id_on_held_out_documents(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.QUERIES["op2_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id")
