@@ -46,7 +46,7 @@ from .common import clean_name, numbered, power_of_two, ship, shuffle_partitions
 from .words import Words
 
 SIZE = 20
-GROUP_BYTES, BUCKET_BYTES, PARTITION_BYTES = 10 << 20, 16 << 20, 1 << 30  # of text a group, a bucket, a shuffle partition
+GROUP_BYTES, BUCKET_BYTES, PARTITION_BYTES = 10 << 20, 16 << 20, 512 << 20  # of text a group, a bucket, a shuffle partition
 MOST_BUCKETS = 1 << 17
 _MARK = 6  # bytes of a window in the first pass
 
