@@ -18,16 +18,17 @@ is a connected component. Documents of the same words are one node. A bucket is
 3. A link between two documents x and y verified against L, x without success, needs a shingle that
    both have and L has not, or sizes |x| + |y| <= i (1 + t) / t where i is the smaller number of
    shingles they share with L (without a shingle outside L they share at most i). Documents of such
-   sizes stay together in the buckets of their bands, one for each L. For the rest each (L, shared shingle
-   outside L) is a bucket of the next round, led by one of its documents. The prefix rule keeps
+   sizes stay together in the buckets of their bands, one for each L: where up to PAIRED of one failed, these
+   are verified against all of it, so at most PAIRED pairs a document; where more did, it is a bucket of
+   the next round. So is for the rest each (L, shared shingle outside L). A bucket is led by one of its documents. The prefix rule keeps
    these few: in order of how many documents of L have a shingle, x and y share one among the first
    |x| - ceil(t |x|) + 1 of x; so a failed document with that many shingles of its own is done. So is
    one whose shingles shared with L and those shared with others are too few for the smallest
    partner in the bucket.
 
-Rounds go on until no bucket with a failed document is left. A round leads a bucket by another document
-than the last; if TURNS leaders in a row bring nothing but known pairs, the documents left in the
-buckets are paired. A rest of few pairs and little text, both measured first, is settled in one task. So
+Rounds go on until no bucket with a failed document is left, or until leaders come up again with
+nothing but known pairs. Then buckets of up to PAIRED failed documents are paired, and the others go on
+with another leader each round; only if TURNS of these in a row bring nothing new, they are paired too. A rest of few pairs and little text, both measured first, is settled in one task. So
 no link between candidates is lost, and work follows the number of documents, not the square of a
 group. The pairs of a leader are dealt over blocks of BLOCK, each with the leader's text once, so no
 task gets a whole family. Candidates and verified pairs stay in tables in the shared folder.
@@ -59,7 +60,7 @@ from .words import Words, mix
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 128, 32
 LOCAL_PAIRS, LOCAL_BYTES = 100_000, 32 << 20  # of a rest that one task settles
-BLOCK, TURNS = 4096, 4  # pairs of one leader in a task's block; leaders tried before a bucket is paired
+BLOCK, TURNS, PAIRED = 4096, 4, 1024  # pairs of one leader in a task's block; leaders tried before a bucket is paired; failed documents of a bucket that may be paired with the others at once
 BROADCAST_IDS = 100_000  # ids of a round that may be broadcast, under 2 MB; more are joined by a shuffle
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,9 +164,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataF
     return both.mapInArrow(run, schema)
 
 
-def _next_buckets(checked: DataFrame, bands: DataFrame, t: float) -> DataFrame | None:
-    """Buckets (bucket, b, ok) of what may be linked though one failed against their common leader; None if
-    nothing failed. bands: bucket and b, of all candidates."""
+def _next_buckets(checked: DataFrame, bands: DataFrame, t: float) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs (a, b), and buckets (bucket, b, ok), of what may be linked though one failed against their
+    common leader; None if nothing failed. bands: bucket and b, of all candidates."""
     room = (1 + t) / t
     cap = F.col("both") * room - F.col("nb") + 1e-9  # the largest size of a partner that has nothing outside the leader
     families = checked.groupBy("a").agg(F.min("ok").alias("all_ok"), F.count(F.lit(1)).alias("n"), F.min("nb").alias("least"), F.max(F.when(~F.col("ok"), cap)).alias("cap")).where("not all_ok and n > 1").drop("all_ok", "n")
@@ -175,6 +176,14 @@ def _next_buckets(checked: DataFrame, bands: DataFrame, t: float) -> DataFrame |
     # what may be linked without a shingle outside the leader: of fitting sizes, and together in a band
     sizes = own.where((F.col("both") >= t * F.col("nb")) & ((~F.col("ok") & (cap >= F.col("least"))) | (F.col("nb") <= F.col("cap"))))
     inside = sizes.select("a", "b", "ok", "nb", F.col("both").alias("reach")).join(bands.withColumnRenamed("bucket", "band"), "b").select(F.xxhash64("a", "band", F.lit(1)).alias("bucket"), "b", "ok", "nb", "reach")
+    counted = inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(~F.col("ok"), 1)).alias("n"), F.min("nb").alias("low")).where("all > 1 and n > 0").drop("all")
+    # fits: the smallest of the bucket may be a partner
+    inside = stored(inside.join(counted, "bucket").where(F.col("nb") + F.col("low") <= F.col("reach") * room + 1e-9).drop("low"), "inside")
+    some = inside.where(F.col("n") <= PAIRED)
+    x = some.where("not ok").select("bucket", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("reach").alias("ix"))
+    y = some.select("bucket", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("reach").alias("iy"), "ok")
+    small = x.join(y, "bucket").where((F.col("nx") + F.col("ny") <= F.least("ix", "iy") * room + 1e-9) & (F.col("ok") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    inside = inside.where(F.col("n") > PAIRED).drop("n")
     # shingles outside the leader that several documents of the family have
     out = own.select("a", "b", F.explode("outside").alias("s"))
     shared = out.groupBy("a", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -186,17 +195,24 @@ def _next_buckets(checked: DataFrame, bands: DataFrame, t: float) -> DataFrame |
     # x and y have at most reach in common; with the smallest partner in the bucket that must do
     least = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ok").alias("all_ok"), F.min("nb").alias("least")).where("n > 1 and not all_ok").select("bucket", "least")
     in_bucket = in_bucket.join(least, "bucket").where(F.col("reach") * room >= F.col("nb") + F.col("least") - 1e-9).select("bucket", "b", "ok")
-    return in_bucket
+    return small, in_bucket
 
 
 def _led(in_bucket: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's leader, a linked document if it has one, and each other document; each turn has
-    leaders of its own."""
-    rank = F.struct("ok", F.xxhash64("b", F.lit(turn)).alias("r"), F.col("b").alias("m"))
+    """Pairs (a, b) of a bucket's leader, a linked document if it has one, and each other document: that of the
+    smallest id, or after turn 0 another one each turn."""
+    rank = F.struct("ok", (F.xxhash64("b", F.lit(turn)) if turn else -F.col("b")).alias("r"), F.col("b").alias("m"))
     lead = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ok").alias("all_ok"), F.max(rank).alias("top")).where("n > 1 and not all_ok").select("bucket", F.col("top.m").alias("a"))
     return in_bucket.join(lead, "bucket").where("a <> b").select("a", "b")
 
 
+def _paired(in_bucket: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket but those of two linked documents."""
+    one, two = in_bucket.alias("x"), in_bucket.alias("y")
+    both = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.b") < F.col("y.b")) & ~(F.col("x.ok") & F.col("y.ok")))
+    return both.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+
+
 def _few(in_bucket: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataFrame | None:
     """The links (a, b) within buckets that are few and small, found in one task; None if they are more.
 
@@ -272,22 +288,32 @@ def _classes(docs: DataFrame, same: DataFrame | None, shingle: int, similarity:
     links: DataFrame | None = None
     in_bands, turn = rows.select("bucket", F.col("node").alias("b")), 0
     while (found := _next_buckets(checked, in_bands, similarity)) is not None:
-        in_bucket = stored(found, "rare-buckets")
+        in_bucket = stored(found[1], "rare-buckets")
         known = verified.select("a", "b")
+        unknown = lambda p: p.join(known, ["a", "b"], "left_anti")  # noqa: B023, E731
         links = _few(in_bucket, texts, shingle, similarity)
-        if links is not None:
-            break
-        for _ in range(TURNS):
+        small = stored(unknown(found[0]), "small")
+        pairs, last = small, True
+        if links is None:
             # a leader is verified against all of its bucket, known or not, so that they are one family
-            turn += 1
             pairs = stored(_led(in_bucket, turn).distinct(), "pairs")
-            last = pairs.join(known, ["a", "b"], "left_anti").isEmpty()
-            if not last:
-                break
-        if last:  # the leaders have been through all of this: what is left is paired
-            one, two = in_bucket.alias("x"), in_bucket.alias("y")
-            both = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.b") < F.col("y.b")) & ~(F.col("x.ok") & F.col("y.ok")))
-            pairs = stored(both.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+            alone, last = small, False
+            if unknown(pairs).isEmpty():  # the leaders have been through all of this
+                sized = in_bucket.join(in_bucket.groupBy("bucket").agg(F.count(F.when(~F.col("ok"), 1)).alias("n")), "bucket")
+                many = stored(sized.where(F.col("n") > PAIRED).drop("n"), "large-buckets")
+                alone = stored(unknown(_paired(sized.where(F.col("n") <= PAIRED)).union(small).distinct()), "alone")
+                pairs, last = alone, True
+                if not many.isEmpty():
+                    for _ in range(TURNS):
+                        turn += 1
+                        pairs = stored(_led(many, turn).distinct(), "pairs")
+                        if last := unknown(pairs).isEmpty():
+                            continue
+                        break
+                    if last:
+                        pairs = stored(unknown(_paired(many).union(alone).distinct()), "pairs")
+            if not last:  # pairs that lead no family
+                verified = verified.unionByName(stored(_verify(alone, texts, shingle, similarity), "verified").drop("outside"))
         checked = stored(_verify(pairs, texts, shingle, similarity), "verified")
         verified = verified.unionByName(checked.drop("outside"))
         if last:
