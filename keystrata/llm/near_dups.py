@@ -26,9 +26,12 @@ is a connected component. Documents of the same words are one node. A bucket is
    one whose shingles shared with L and those shared with others are too few for the smallest
    partner in the bucket.
 
-Rounds go on until no bucket with a failed document is left, or until leaders come up again with
-nothing but known pairs. Then buckets of up to PAIRED failed documents are paired, and the others go on
-with another leader each round; only if TURNS of these in a row bring nothing new, they are paired too. A rest of few pairs and little text, both measured first, is settled in one task. So
+In each round the smallest buckets of the next one are paired at once, in tasks over all executors, as far as
+that makes up to EACH pairs for each candidate document (or AT_ONCE in all), counted before repeated pairs and those whose sizes
+exclude a link are left out;
+the others are led. Rounds go on until no bucket is left to be led, or until leaders come up again with
+nothing but known pairs. Then they go on with another leader each round; only if TURNS of these in a row
+bring nothing new, they are paired too. A rest of few pairs and little text, both measured first, is settled in one task. So
 no link between candidates is lost, and work follows the number of documents, not the square of a
 group. The pairs of a leader are dealt over blocks of BLOCK, each with the leader's text once, so no
 task gets a whole family. Candidates and verified pairs stay in tables in the shared folder.
@@ -60,6 +63,7 @@ from .words import Words, mix
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 128, 32
 LOCAL_PAIRS, LOCAL_BYTES = 100_000, 32 << 20  # of a rest that one task settles
+EACH, AT_ONCE = 64, 1 << 20  # pairs of rare buckets that a round makes at once: for each candidate document, or in all if that is more
 BLOCK, TURNS, PAIRED = 4096, 4, 1024  # pairs of one leader in a task's block; leaders tried before a bucket is paired; failed documents of a bucket that may be paired with the others at once
 BROADCAST_IDS = 100_000  # ids of a round that may be broadcast, under 2 MB; more are joined by a shuffle
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -165,7 +169,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataF
 
 
 def _next_buckets(checked: DataFrame, bands: DataFrame, t: float) -> tuple[DataFrame, DataFrame] | None:
-    """Pairs (a, b), and buckets (bucket, b, ok), of what may be linked though one failed against their
+    """Pairs (a, b), and buckets (bucket, b, ok, nb, both, common), of what may be linked though one failed against their
     common leader; None if nothing failed. bands: bucket and b, of all candidates."""
     room = (1 + t) / t
     cap = F.col("both") * room - F.col("nb") + 1e-9  # the largest size of a partner that has nothing outside the leader
@@ -175,14 +179,11 @@ def _next_buckets(checked: DataFrame, bands: DataFrame, t: float) -> tuple[DataF
         return None
     # what may be linked without a shingle outside the leader: of fitting sizes, and together in a band
     sizes = own.where((F.col("both") >= t * F.col("nb")) & ((~F.col("ok") & (cap >= F.col("least"))) | (F.col("nb") <= F.col("cap"))))
-    inside = sizes.select("a", "b", "ok", "nb", F.col("both").alias("reach")).join(bands.withColumnRenamed("bucket", "band"), "b").select(F.xxhash64("a", "band", F.lit(1)).alias("bucket"), "b", "ok", "nb", "reach")
+    inside = sizes.select("a", "b", "ok", "nb", "both").join(bands.withColumnRenamed("bucket", "band"), "b").select(F.xxhash64("a", "band", F.lit(1)).alias("bucket"), "b", "ok", "nb", "both", F.lit(0).alias("common"))
     counted = inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(~F.col("ok"), 1)).alias("n"), F.min("nb").alias("low")).where("all > 1 and n > 0").drop("all")
     # fits: the smallest of the bucket may be a partner
-    inside = stored(inside.join(counted, "bucket").where(F.col("nb") + F.col("low") <= F.col("reach") * room + 1e-9).drop("low"), "inside")
-    some = inside.where(F.col("n") <= PAIRED)
-    x = some.where("not ok").select("bucket", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("reach").alias("ix"))
-    y = some.select("bucket", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("reach").alias("iy"), "ok")
-    small = x.join(y, "bucket").where((F.col("nx") + F.col("ny") <= F.least("ix", "iy") * room + 1e-9) & (F.col("ok") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    inside = stored(inside.join(counted, "bucket").where(F.col("nb") + F.col("low") <= F.col("both") * room + 1e-9).drop("low"), "inside")
+    small = _paired(inside.where(F.col("n") <= PAIRED), t)
     inside = inside.where(F.col("n") > PAIRED).drop("n")
     # shingles outside the leader that several documents of the family have
     out = own.select("a", "b", F.explode("outside").alias("s"))
@@ -191,10 +192,10 @@ def _next_buckets(checked: DataFrame, bands: DataFrame, t: float) -> tuple[DataF
     of = own.select("a", "b", "nb", "both", "ok", F.size("outside").alias("n")).join(of, ["a", "b"])
     prefix = F.col("nb") - F.ceil(F.col("nb") * t - 1e-9) + 1 - (F.col("n") - F.size("common"))
     chosen = F.when(F.col("ok"), F.col("common")).otherwise(F.slice("common", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")))
-    in_bucket = of.select(F.explode(chosen).alias("c"), "a", "b", "ok", "nb", (F.col("both") + F.size("common")).alias("reach")).select(F.xxhash64("a", "c.s").alias("bucket"), "b", "ok", "nb", "reach").unionByName(inside)
-    # x and y have at most reach in common; with the smallest partner in the bucket that must do
+    in_bucket = of.select(F.explode(chosen).alias("c"), "a", "b", "ok", "nb", F.col("both"), F.size("common").alias("common")).select(F.xxhash64("a", "c.s").alias("bucket"), "b", "ok", "nb", "both", "common").unionByName(inside)
+    # x and y have at most both + common shingles in common; with the smallest partner in the bucket that must do
     least = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("ok").alias("all_ok"), F.min("nb").alias("least")).where("n > 1 and not all_ok").select("bucket", "least")
-    in_bucket = in_bucket.join(least, "bucket").where(F.col("reach") * room >= F.col("nb") + F.col("least") - 1e-9).select("bucket", "b", "ok")
+    in_bucket = in_bucket.join(least, "bucket").where((F.col("both") + F.col("common")) * room >= F.col("nb") + F.col("least") - 1e-9).drop("least")
     return small, in_bucket
 
 
@@ -206,11 +207,27 @@ def _led(in_bucket: DataFrame, turn: int) -> DataFrame:
     return in_bucket.join(lead, "bucket").where("a <> b").select("a", "b")
 
 
-def _paired(in_bucket: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket but those of two linked documents."""
-    one, two = in_bucket.alias("x"), in_bucket.alias("y")
-    both = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.b") < F.col("y.b")) & ~(F.col("x.ok") & F.col("y.ok")))
-    return both.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+def _paired(in_bucket: DataFrame, t: float) -> DataFrame:
+    """All pairs (a, b) of a bucket but those of two linked documents, and those of which sizes, shingles
+    shared with the leader and shingles shared with others leave too few in common."""
+    x = in_bucket.where("not ok").select("bucket", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("both").alias("ix"), F.col("common").alias("ox"))
+    y = in_bucket.select("bucket", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("both").alias("iy"), F.col("common").alias("oy"), "ok")
+    fit = F.col("nx") + F.col("ny") <= (F.least("ix", "iy") + F.least("ox", "oy")) * ((1 + t) / t) + 1e-9
+    return x.join(y, "bucket").where(fit & (F.col("ok") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _dealt(in_bucket: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The buckets to pair at once, the smallest ones, of `most` pairs in all and PAIRED failed documents each; and the others."""
+    sized = in_bucket.groupBy("bucket").agg(F.count(F.when(~F.col("ok"), 1)).alias("n"), F.count(F.lit(1)).alias("all"))
+    sized = stored(sized.select("bucket", "n", F.expr("length(bin(n * all))").alias("bits"), (F.col("n") * F.col("all")).alias("pairs")), "sized")
+    bits, total = 0, 0
+    for row in sized.where(F.col("n") <= PAIRED).groupBy("bits").agg(F.sum("pairs").alias("pairs")).orderBy("bits").collect():  # 64 rows at most
+        if (total := total + row["pairs"]) > most:
+            break
+        bits = row["bits"]
+    at_once = (F.col("n") <= PAIRED) & (F.col("bits") <= bits)
+    few, many = (in_bucket.join(sized.where(c).select("bucket"), "bucket") for c in (at_once, ~at_once))
+    return few, None if sized.where(~at_once).isEmpty() else stored(many, "large-buckets")
 
 
 def _few(in_bucket: DataFrame, texts: DataFrame, shingle: int, t: float) -> DataFrame | None:
@@ -286,33 +303,31 @@ def _classes(docs: DataFrame, same: DataFrame | None, shingle: int, similarity:
     checked = verified.unionByName(stored(_verify(stored(pairs, "pairs"), texts, shingle, similarity), "verified"))
     verified = checked.drop("outside")
     links: DataFrame | None = None
-    in_bands, turn = rows.select("bucket", F.col("node").alias("b")), 0
+    in_bands, turn, candidates = rows.select("bucket", F.col("node").alias("b")), 0, texts.count()
     while (found := _next_buckets(checked, in_bands, similarity)) is not None:
         in_bucket = stored(found[1], "rare-buckets")
         known = verified.select("a", "b")
         unknown = lambda p: p.join(known, ["a", "b"], "left_anti")  # noqa: B023, E731
         links = _few(in_bucket, texts, shingle, similarity)
-        small = stored(unknown(found[0]), "small")
-        pairs, last = small, True
+        alone, many = found[0], None
         if links is None:
+            few, many = _dealt(in_bucket, max(EACH * candidates, AT_ONCE))
+            alone = alone.union(_paired(few, similarity)).distinct()
+        pairs = alone = stored(unknown(alone), "alone")  # pairs that lead no family
+        last = many is None
+        if many is not None:
             # a leader is verified against all of its bucket, known or not, so that they are one family
-            pairs = stored(_led(in_bucket, turn).distinct(), "pairs")
-            alone, last = small, False
+            pairs = stored(_led(many, turn).distinct(), "pairs")
             if unknown(pairs).isEmpty():  # the leaders have been through all of this
-                sized = in_bucket.join(in_bucket.groupBy("bucket").agg(F.count(F.when(~F.col("ok"), 1)).alias("n")), "bucket")
-                many = stored(sized.where(F.col("n") > PAIRED).drop("n"), "large-buckets")
-                alone = stored(unknown(_paired(sized.where(F.col("n") <= PAIRED)).union(small).distinct()), "alone")
-                pairs, last = alone, True
-                if not many.isEmpty():
-                    for _ in range(TURNS):
-                        turn += 1
-                        pairs = stored(_led(many, turn).distinct(), "pairs")
-                        if last := unknown(pairs).isEmpty():
-                            continue
-                        break
-                    if last:
-                        pairs = stored(unknown(_paired(many).union(alone).distinct()), "pairs")
-            if not last:  # pairs that lead no family
+                for _ in range(TURNS):
+                    turn += 1
+                    pairs = stored(_led(many, turn).distinct(), "pairs")
+                    if last := unknown(pairs).isEmpty():
+                        continue
+                    break
+                if last:
+                    pairs = stored(unknown(_paired(many, similarity).union(alone).distinct()), "pairs")
+            if not last:
                 verified = verified.unionByName(stored(_verify(alone, texts, shingle, similarity), "verified").drop("outside"))
         checked = stored(_verify(pairs, texts, shingle, similarity), "verified")
         verified = verified.unionByName(checked.drop("outside"))

@@ -116,6 +116,35 @@ def test_fragments_of_one_document_and_hot_leaders(spark, in_one_task, monkeypat
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("families,led", [(3, False), (1, True)])
+def test_families_of_similar_documents_take_one_round(spark, families, led, monkeypatch):
+    # documents of a common text and some of a few passages, so that many share passages and few are linked
+    monkeypatch.setattr(near_dups, "LOCAL_PAIRS", -1)
+    if led:  # the way of buckets that are too many to pair
+        monkeypatch.setattr(near_dups, "EACH", -1)
+        monkeypatch.setattr(near_dups, "AT_ONCE", -1)
+    calls, real = [], near_dups._next_buckets
+    monkeypatch.setattr(near_dups, "_next_buckets", lambda *a: calls.append(1) or real(*a))
+    r = random.Random(8)
+    rows = []
+    for f in range(families):
+        base = [f"b{f}.{i}" for i in range(100)]
+        passages = [[f"p{f}.{k}.{i}" for i in range(8)] for k in range(8)]
+        for _ in range(6 if led else 30):
+            rows.append((len(rows), " ".join(base + [w for k in r.sample(range(8), 4) for w in passages[k]])))
+    got = {x["doc_id"]: x["class_id"] for x in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) > families
+    assert led or len(calls) == 1
+
+
+@pytest.mark.parametrize("ok", [True, False])
+def test_pairs_of_a_bucket_that_sizes_exclude(spark, ok):
+    # 2 and 3 share at most 60 + 5 of 100 and 100 shingles, 89 are needed; 1 and 2 at most 85 + 5
+    rows = [(7, 1, False, 100, 85, 10), (7, 2, ok, 100, 90, 5), (7, 3, False, 100, 60, 30)]
+    found = near_dups._paired(spark.createDataFrame(rows, "bucket long, b long, ok boolean, nb long, both long, common int"), 0.8)
+    assert [tuple(x) for x in found.collect()] == [(1, 2)]
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     r = np.random.default_rng(5)
     names = r.integers(1, 1 << 63, 300, np.int64).astype(np.uint64)
