@@ -62,10 +62,12 @@ from .words import Words, mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, BANDS = 128, 32
+SINGLY, ARRIVALS = 4, 1 << 13  # arrivals of each shingle that are taken one at a time; arrivals that are taken at once after them
 LOCAL_PAIRS, LOCAL_BYTES = 100_000, 32 << 20  # of a rest that one task settles
 EACH, AT_ONCE = 64, 1 << 20  # pairs of rare buckets that a round makes at once: for each candidate document, or in all if that is more
 BLOCK, TURNS, PAIRED = 4096, 4, 1024  # pairs of one leader in a task's block; leaders tried before a bucket is paired; failed documents of a bucket that may be paired with the others at once
 BROADCAST_IDS = 100_000  # ids of a round that may be broadcast, under 2 MB; more are joined by a shuffle
+CORPUS_IDS = 500_000  # whole-number ids that may be broadcast to all documents, so that these are not shuffled
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,27 +82,55 @@ def weighted_shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray,
     return text[first], h[first], np.diff(np.append(first, len(h)))
 
 
-def prob_min_hash(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
+def prob_min_hash(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray | None, texts: int, registers: int = REGISTERS) -> np.ndarray:
     """The shingle of the earliest arrival in each register, texts x registers; 0 for no shingles.
 
-    Rounds take the next arrival of every shingle that can still be earlier than some register.
+    Rounds take the next arrival of every shingle that can still be earlier than some register; when few
+    shingles are left, many arrivals of each at once. Without weights each shingle weighs 1, and one may be
+    given repeatedly: its arrivals are the same each time.
     """
     earliest = np.full(texts * registers, np.inf)
     winner = np.zeros(texts * registers, np.uint64)
-    time, nth = np.zeros(len(shingle)), np.uint64(0)
+    by_text = earliest.reshape(texts, registers)
+    time, done = np.zeros(len(shingle)), 0
     latest = np.full(texts, np.inf)
-    text, shingle, weight = text.astype(np.int64), shingle, weight.astype(np.float64)
-    while len(shingle):
-        nth += np.uint64(1)
-        bits = mix(shingle + nth * _GOLD)
-        time = time - np.log(((bits >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / weight
-        some = time < latest[text]
-        text, shingle, weight, time, bits = text[some], shingle[some], weight[some], time[some], bits[some]
-        place = text * registers + (mix(bits ^ _GOLD) % np.uint64(registers)).astype(np.int64)
-        np.minimum.at(earliest, place, time)
-        won = earliest[place] == time
-        winner[place[won]] = shingle[won]
-        latest = earliest.reshape(texts, registers).max(axis=1)
+    text, weight = text.astype(np.int64), None if weight is None else weight.astype(np.float64)
+    while n := len(shingle):
+        if done == SINGLY and weight is None:  # repeated ones that are left go on once
+            order = np.lexsort((shingle, text))
+            s, x = shingle[order], text[order]
+            order = order[np.concatenate(([True], (s[1:] != s[:-1]) | (x[1:] != x[:-1])))]
+            text, shingle, time = text[order], shingle[order], time[order]
+            n = len(shingle)
+        ahead = 1 if done < SINGLY else max(1, min(ARRIVALS // n, 256))
+        nth = np.arange(done + 1, done + ahead + 1, dtype=np.uint64)
+        bits = mix(shingle + nth[:, None] * _GOLD)  # ahead x n
+        step = (bits >> np.uint64(11)).astype(np.float64)
+        step += 1
+        step *= 2.0**-53
+        np.log(step, out=step)
+        if weight is not None:
+            step /= weight
+        np.subtract(time, step[0], out=step[0])
+        for k in range(1, ahead):
+            np.subtract(step[k - 1], step[k], out=step[k])
+        some = np.flatnonzero(step < latest[text])
+        of, at, bits = some % n, step.ravel()[some], bits.ravel()[some]
+        place = mix(bits ^ _GOLD)
+        if registers & (registers - 1):
+            place %= np.uint64(registers)
+        else:
+            place &= np.uint64(registers - 1)
+        place = place.view(np.int64)
+        place += text[of] * registers
+        np.minimum.at(earliest, place, at)
+        won = np.flatnonzero(earliest[place] == at)
+        winner[place[won]] = shingle[of[won]]
+        active = text[np.flatnonzero(np.diff(text, prepend=-1))]
+        latest[active] = by_text[active].max(axis=1)
+        on = np.flatnonzero(step[-1] < latest[text])
+        text, shingle, time, weight = text[on], shingle[on], step[-1][on], None if weight is None else weight[on]
+        done += ahead
     return winner.reshape(texts, registers)
 
 
@@ -114,8 +144,8 @@ def signatures(docs: DataFrame, text: str, doc_id: str, shingle: int = SHINGLE,
             for batch in batches:
                 for part in steps(batch, "t"):
                     words = Words(part.column(1))
-                    t, s, _ = weighted_shingles(words, shingle)
-                    registers_of = prob_min_hash(t, s, np.ones(len(s)), words.texts, registers).reshape(words.texts, bands, per_band)
+                    s, t = words.shingles(shingle)
+                    registers_of = prob_min_hash(t, s, None, words.texts, registers).reshape(words.texts, bands, per_band)
                     band = np.broadcast_to(salt, (words.texts, bands)).copy()
                     for k in range(per_band):
                         band = mix(band * _GOLD + registers_of[:, :, k])
@@ -291,7 +321,7 @@ def _classes(docs: DataFrame, same: DataFrame | None, shingle: int, similarity:
     many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = stored(rows.join(many, "bucket"), "buckets")
     company = rows.groupBy("node").agg(F.sum("n").alias("company"))
-    texts = stored(docs.select("id", "t").join(company.select(F.col("node").alias("id")), "id", "left_semi"), "texts")
+    texts = stored(docs.select("id", "t").join(_sent(stored(company.select(F.col("node").alias("id")), "candidates"), "id"), "id", "left_semi"), "texts")
     rows = rows.join(company, "node").select("bucket", "node", F.struct("company", (-F.col("node")).alias("m")).alias("rank"))
     rows = stored(rows.join(rows.groupBy("bucket").agg(F.max("rank").alias("top")), "bucket").select("bucket", "node", "top"), "led")
     best = rows.groupBy("node").agg((-F.max("top").getField("m")).alias("best"))
@@ -351,6 +381,12 @@ def _classes(docs: DataFrame, same: DataFrame | None, shingle: int, similarity:
     return stored(out, "classes")
 
 
+def _sent(ids: DataFrame, doc_id: str) -> DataFrame:
+    """Stored ids, to be joined with all documents: broadcast if they are few and of bounded size."""
+    most = CORPUS_IDS if isinstance(ids.schema[doc_id].dataType, T.IntegralType) else BROADCAST_IDS
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def _repeats(signed: DataFrame) -> bool:
     return not signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
@@ -370,7 +406,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
         return one_of_each(numbered(docs, doc_id, text, at), text, at, shingle, similarity).drop(at)
     found = classes(docs, text, doc_id, shingle, similarity).where(f"`{doc_id}` <> class_id").select(F.col(f"`{doc_id}`").alias(clean_name(docs.columns, "dropped")))
     found = stored(found, "dropped")
-    return docs.join(found, F.col(f"`{doc_id}`") == F.col(found.columns[0]), "left_anti")
+    return docs.join(_sent(found, found.columns[0]), F.col(f"`{doc_id}`") == F.col(found.columns[0]), "left_anti")
 
 
 #: The classes in DuckDB's SQL for unique ids, from all pairs that share a shingle: for small tables.

@@ -158,6 +158,47 @@ def test_prob_min_hash_estimates_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - exact) < 4 * np.sqrt(exact * (1 - exact) / 4096)
 
 
+@pytest.mark.parametrize("registers", [16, 12])
+def test_repeated_shingles_and_many_arrivals_at_once_change_no_register(registers, monkeypatch):
+    r = np.random.default_rng(9)
+    names = r.integers(1, 1 << 63, 400, np.int64).astype(np.uint64)
+    text = np.repeat(np.arange(6), [1, 2, 5, 40, 350, 2])
+    order = np.concatenate((np.arange(400), r.integers(0, 400, 3000), np.zeros(5000, int)))  # the text of one shingle 5000 times
+    expected = np.zeros((7, registers), np.uint64)
+    with np.errstate(over="ignore"):
+        for t in range(6):
+            earliest = [np.inf] * registers
+            for s in names[text == t]:
+                time, n = 0.0, 0
+                while time < max(earliest):
+                    n += 1
+                    bits = near_dups.mix(np.array([s + np.uint64(n) * near_dups._GOLD]))
+                    time -= np.log(((bits[0] >> np.uint64(11)).astype(float) + 1) * 2.0**-53)
+                    k = int(near_dups.mix(bits ^ near_dups._GOLD)[0] % np.uint64(registers))
+                    if time < earliest[k]:
+                        earliest[k], expected[t, k] = time, s
+        rounds, mix = [], near_dups.mix
+        monkeypatch.setattr(near_dups, "mix", lambda x: rounds.append(x.size) or mix(x))
+        assert (near_dups.prob_min_hash(text[order], names[order], None, 7, registers) == expected).all()
+        assert (near_dups.prob_min_hash(text, names, np.ones(400), 7, registers) == expected).all()
+    assert len(rounds) < 40 and max(rounds) < 10_000
+
+
+@pytest.mark.parametrize("most", [10, 0])
+def test_documents_are_not_shuffled_to_drop_few_of_them(spark, most, monkeypatch):
+    monkeypatch.setattr(near_dups, "CORPUS_IDS", most)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, " ".join(f"w{i % 20 if i < 24 else i}_{k}" for k in range(30))) for i in range(60)]
+        kept = near_dups.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(x["doc_id"] for x in kept.collect()) == [i for i in range(60) if not 20 <= i < 24]
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (most > 0, most == 0)
+
+
 def test_overlaps_tolerate_substitutions_and_leave_others_alone(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
